@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe_count, chat, langid, neardup, packing, quality, sharding, toxicity, warc
+from corpusloom.llm import bpe_count, chat, decontaminate, langid, neardup, packing, quality, sharding, toxicity, warc
 from corpusloom.plans.scratch import Scratch
 
 SHARD_BYTES = 4 << 20
@@ -50,6 +50,14 @@ def op5_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    with Scratch(spark) as scratch:
+        found = decontaminate.overlaps(docs, _table(spark, sf_dir, "benchmark"), scratch)
+        out = decontaminate.verdicts(docs, found, scratch)
+        return scratch.keep(out.select("doc_id", "contaminated", "n_items", "first_item", "best_score"))
+
+
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     with Scratch(spark) as scratch:
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_chat_format,
         op4_extendible_shards,
         op5_bpe_token_counts,
+        op6_decontamination,
         op7_host_quality,
         op8_language_id,
         op9_toxicity,
