@@ -13,12 +13,18 @@ from types import TracebackType
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; sets ``spark.checkpoint.dir`` to a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder in ``spark.checkpoint.dir``; only where the session has none, the context's checkpoint folder or a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder in ("", "<undefined>"):
+        context = spark.sparkContext
+        folder = context.getCheckpointDir() or _OWN.setdefault(context.applicationId, "")
+        if not folder:
+            folder = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     return folder.rstrip("/")
 
 
