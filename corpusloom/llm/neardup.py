@@ -6,7 +6,8 @@
    3 in 10 million at the threshold itself, fewer above), so both its nodes have one of their ``SIZE - MATCHES + 1`` rarest pairs in
    common: only these prefixes are posted, and a node whose pairs are mostly its own posts nothing.
 3. Among the nodes that still post, shingles are counted. A node with e shingles of its own in a set of n shares at most n - e with
-   any other, which rules out most nodes that merely share a passage, and bounds the sizes of possible partners.
+   any other, which rules out most nodes that merely share a passage, and bounds the sizes of possible partners. The shingles that
+   are not its own are also counted in ``CELLS`` cells by hash: two sets share at most the sum of the cells' smaller counts.
 4. Collisions are counted per list against the list's most ordinary node only, each node is confirmed on full sets against its best
    two, and the links give first components. What is left are lists that hold several components: their nodes outside the main
    component are paired with possible partners in other components, by size range. So pairs that are already connected are skipped,
@@ -36,6 +37,8 @@ from corpusloom.plans.scratch import Scratch
 SIZE, MATCHES, WIDTH = 64, 36, 5
 #: The threshold as a fraction: links have NUMERATOR / DENOMINATOR of the union in common at least.
 NUMERATOR, DENOMINATOR = 85, 100
+#: Cells in which a node's shingles are counted.
+CELLS = 64
 #: Logarithmic width of a size bucket.
 STEP = 0.04
 
@@ -72,32 +75,43 @@ def prefixes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return mine.where(room > 0).select("key", F.transform(F.slice("found", 1, F.greatest(room, F.lit(1))), lambda x: x["pair"]).alias("posts"))
 
 
-def own_shingles(texts: DataFrame) -> DataFrame:
-    """``node, own``: number of shingles that no other of these texts has. A node is the 64-bit hash of its key."""
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for part in slices(texts, 2_000_000):
+        yield from zip(nodes[part], shingle_sets([t.encode("utf-8") for t in texts[part]], WIDTH), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """``node, own, cells``: the number of shingles that no other of these texts has, and the others counted by cell (a shingle's last
+    bits). A node is the 64-bit hash of its key."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, n = [], [], 0
         for batch in batches:
-            nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for part in slices(texts, 2_000_000):
-                for node, s in zip(nodes[part], shingle_sets([t.encode("utf-8") for t in texts[part]], WIDTH), strict=True):
-                    for at in range(0, len(s), 1 << 20):
-                        piece = s[at : at + (1 << 20)].view(np.int64)
-                        yield pa.record_batch([pa.array(np.full(len(piece), node)), pa.array(piece)], ["node", "shingle"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= 100_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    rows = texts.select("node", "text").mapInArrow(gathered, "node bigint, shingle bigint")
+            for node, s in _sets(batch):
+                for at in range(0, len(s), 100_000):
+                    sets.append(s[at : at + 100_000].view(np.int64))
+                    nodes.append(np.full(len(sets[-1]), node))
+                    n += len(sets[-1])
+                    if n >= 100_000:
+                        yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], ["node", "shingle"])
+                        nodes, sets, n = [], [], 0
+        if n:
+            yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], ["node", "shingle"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(node, np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).tolist()) for node, s in _sets(batch)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["node", "all_cells"])
+
+    rows = texts.select("node", "text").mapInArrow(exploded, "node bigint, shingle bigint")
     single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").alias("own"))
+    cell = F.col("shingle").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    own = single.groupBy("node", cell.alias("cell")).agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("own"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("_own"))
+    total = texts.select("node", "text").mapInArrow(counted, "node bigint, all_cells array<bigint>")
+    both = total.join(own, "node", "left")
+    cells = F.transform("all_cells", lambda x, i: (x - F.coalesce(F.col("_own")[i], F.lit(0))).cast("int"))
+    return both.select("node", F.coalesce("own", F.lit(0)).alias("own"), cells.alias("cells"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -138,6 +152,12 @@ def _possible(n1: Column, e1: Column, n2: Column, e2: Column) -> Column:
     return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n1 + n2)
 
 
+def _possible_by_cells(n1: Column, c1: Column, n2: Column, c2: Column) -> Column:
+    """The same from the sets' counts by cell."""
+    most = F.aggregate(F.zip_with(c1, c2, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n1 + n2)
+
+
 def links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between keys of ``nodes`` (key, n_shingles, sig, rep) that connect all that the threshold connects."""
     posts = scratch.table(prefixes(nodes, scratch), "prefixes")
@@ -146,11 +166,11 @@ def links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     wanted = posting.select("key", "node", "rep_id", "rep_hash")
     texts = scratch.table(rows.join(wanted, rows["_id"].eqNullSafe(wanted["rep_id"]) & (rows["_hash"] == wanted["rep_hash"])).select("key", "node", "text").dropDuplicates(["key"]), "texts")
-    own = scratch.table(own_shingles(texts), "own")
-    able = posting.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    own = scratch.table(shared_shingles(texts), "own")
+    able = posting.join(own, "node")
     able = able.where(DENOMINATOR * (F.col("n_shingles") - F.col("own")) >= NUMERATOR * F.col("n_shingles"))
-    able = scratch.table(able.select("key", F.col("n_shingles").alias("n"), "own", "sig", "posts").join(texts.select("key", "text"), "key"), "able")
-    post = scratch.table(able.select("key", "n", "own", F.explode("posts").alias("pair")), "post")
+    able = scratch.table(able.select("key", F.col("n_shingles").alias("n"), "own", "cells", "sig", "posts").join(texts.select("key", "text"), "key"), "able")
+    post = scratch.table(able.select("key", "n", "own", "cells", F.explode("posts").alias("pair")), "post")
 
     heads = post.groupBy("pair").agg(F.min(F.struct("own", "n", "key")).alias("head"), F.count("*").alias("size")).where("size > 1")
     heads = scratch.table(heads.select("pair", "head"), "heads")
@@ -169,10 +189,10 @@ def links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     largest = F.least(F.col("n") * DENOMINATOR / NUMERATOR, (F.col("n") - F.col("own")) * ((NUMERATOR + DENOMINATOR) / NUMERATOR) - F.col("n"))
     apart = named.join(head_labels, "pair").where("label <> main")
     span = F.sequence(bucket(F.greatest(F.col("n") * NUMERATOR / DENOMINATOR * 0.9999, F.lit(1.0))), bucket(largest * 1.0001))
-    apart = apart.where(largest >= F.col("n") * NUMERATOR / DENOMINATOR).select("pair", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ex"), F.col("label").alias("lx"), F.explode(span).alias("bucket"))
+    apart = apart.where(largest >= F.col("n") * NUMERATOR / DENOMINATOR).select("pair", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ex"), F.col("cells").alias("cx"), F.col("label").alias("lx"), F.explode(span).alias("bucket"))
     apart = scratch.table(apart, "apart")
     others = named.withColumn("bucket", bucket(F.col("n")))
-    more = apart.join(others, ["pair", "bucket"]).where((F.col("lx") != F.col("label")) & _possible(F.col("n"), F.col("own"), F.col("nx"), F.col("ex")))
+    more = apart.join(others, ["pair", "bucket"]).where((F.col("lx") != F.col("label")) & _possible(F.col("n"), F.col("own"), F.col("nx"), F.col("ex")) & _possible_by_cells(F.col("n"), F.col("cells"), F.col("nx"), F.col("cx")))
     more = more.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
     more = scratch.table(more, "more")
     return found.unionByName(scratch.table(confirmed(more, able), "links")).select("a", "b")
