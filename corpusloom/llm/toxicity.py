@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from corpusloom.llm.ragged import Table, Words
 
 ORDER, DISCOUNT = 6, 0.75
 WINDOWS = (2, 4)
-MOST_DOCS = 6000
+MOST_DOCS = 2500
 REMEMBERED = 600_000
 _WORD = regex.compile(r"\p{L}+")
 _OPEN, _CLOSE = "\x02", "\x03"
@@ -46,13 +47,12 @@ def _grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     at = np.flatnonzero(words.place > 0)
     width = np.minimum(words.place[at], order - 1)
     context, gram = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    prints = {}
-    for w in range(1, order + 1):
-        prints[w] = words.fingerprints(w)
+    short = words.fingerprints(1)
     for w in range(1, order):
-        mine = np.flatnonzero(width == w)
-        context[mine] = prints[w][at[mine] - w]
-        gram[mine] = prints[w + 1][at[mine] - w]
+        mine, long = np.flatnonzero(width == w), words.fingerprints(w + 1)
+        context[mine] = short[at[mine] - w]
+        gram[mine] = long[at[mine] - w]
+        short = long
     return at, width, context, gram
 
 
@@ -76,6 +76,7 @@ class Contrast:
             total.append(np.bincount(of, n, len(c)))
             kinds.append(np.bincount(of, (n > 0).astype(float), len(c)))
         base = shared[first]
+        del shared, gram, context, weight, cback
         logs, backs = [], []
         for k in (0, 1):
             full = np.maximum(total[k], 1e-9)
@@ -177,15 +178,28 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> DataF
     return texts.join(chosen, "doc_id")
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits the models on (word, ordinary, toxic) rows in one task, since the sample that they come from is bounded, and yields them
+    pickled in parts; nothing without both classes."""
+    words, counts = [], []
+    for batch in batches:
+        words += batch.column(0).to_pylist()
+        counts.append(np.column_stack((batch.column(1).to_numpy(), batch.column(2).to_numpy())))
+    if words and np.concatenate(counts).sum(axis=0).min() > 0:
+        data = pickle.dumps(Contrast(words, np.concatenate(counts)), protocol=5)
+        for at in range(0, len(data), 4 << 20):
+            yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> tuple[Contrast, float, float] | None:
     """The models and the curve; None without both classes."""
     rows = labelled(docs, labels, most).persist()
     try:
         counted = rows.where("fold < 4").select("toxic", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
-        words = counted.toPandas()
-        if not len(words) or not words["t"].sum() or not words["o"].sum():
+        packed = counted.coalesce(1).mapInArrow(_fitted, "part binary").collect()
+        if not packed:
             return None
-        model = Contrast(words["word"].tolist(), words[["o", "t"]].to_numpy())
+        model = pickle.loads(b"".join(r["part"] for r in packed))
         held = rows.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
