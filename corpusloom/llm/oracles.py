@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.decontaminate import MASKS, SPAN
+
 SQL: dict[str, str] = {}
 
 SQL["op1_warc_revisits"] = """
@@ -81,3 +83,45 @@ SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat
        NOT (f.base_failed OR v.host_failed OR v.hard) AS kept
 FROM f JOIN v USING (doc_id)
 """
+
+SQL["op2_minhash_neardup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
+"""
+
+
+def _seeds(table: str, key: str) -> str:
+    """Masked words at every place of every row of ``table``, a branch per mask."""
+    branches = []
+    for number, mask in enumerate(MASKS):
+        seed = " || chr(31) || ".join(f"w[i + {place}]" for place in mask)
+        branches.append(f"SELECT id, i, {number} AS mask, {seed} AS seed FROM (SELECT {key} AS id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM {table} WHERE len(w) >= {SPAN})")
+    return " UNION ALL ".join(branches)
+
+
+SQL["op6_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
+x AS ({_seeds('d', 'doc_id')}), y AS ({_seeds('b', 'item_id')}),
+h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i - y.i AS shift FROM x JOIN y ON x.mask = y.mask AND x.seed = y.seed),
+p AS (
+  SELECT doc_id, item_id, shift, d.w AS dw, b.w AS bw, unnest(range(greatest(shift, 0), least(len(d.w), shift + len(b.w)))) AS k
+  FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+g AS (
+  SELECT doc_id, item_id, shift, k, len(bw) AS n, sum(CASE WHEN dw[k + 1] = bw[k - shift + 1] THEN 2 ELSE -3 END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS s FROM p),
+m AS (SELECT *, min(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM g),
+o AS (SELECT doc_id, item_id, max(n) AS n, max(s - least(0, coalesce(low, 0))) AS score FROM m GROUP BY doc_id, item_id),
+f AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(score) AS best_score FROM o WHERE score >= least(26, n) GROUP BY doc_id)
+SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, CAST(coalesce(best_score, 0) AS INTEGER) AS best_score
+FROM d LEFT JOIN f USING (doc_id)
+"""
