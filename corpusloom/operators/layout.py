@@ -80,3 +80,10 @@ def pointers(df: DataFrame, row: str, line_bytes: Column, chunks: int) -> DataFr
 def renumbered(df: DataFrame, row: str, name: str = "row") -> DataFrame:
     """Gapless row numbers in the old order, after rows were dropped."""
     return numbered(df, row, name)
+
+
+def epochs(df: DataFrame, number: int) -> DataFrame:
+    """``df`` read ``number`` times, with ``epoch``; a source that gives nothing is an error rather than an endless loop."""
+    if df.isEmpty():
+        raise ValueError("an epoch gave no rows")
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, text
 from corpusloom.functions.hashing import h32, hex_key, unit
-from corpusloom.operators import dedup, layout, minhash
+from corpusloom.operators import dedup, layout, minhash, scoring
 from corpusloom.operators.order import hash_ranked, interval_join, numbered
 from corpusloom.plans.registry import h32_sql, query, table
 from corpusloom.plans.scratch import Scratch
@@ -561,3 +561,16 @@ def weighted_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded uniform number that draws rest on."""
     return documents(spark, sf_dir).select("doc_id", F.round(unit(F.lit("u"), "doc_id"), 9).alias("u"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents), l AS (SELECT word, sum(quality) AS pos, sum(1 - quality) AS neg FROM (SELECT DISTINCT doc_id, word FROM w) JOIN labels USING (doc_id) GROUP BY word),
+t AS (SELECT sum(pos) AS p, sum(neg) AS n, count(*) AS v FROM l), x AS (SELECT word, ln((pos + 1) / (p + v)::DOUBLE) - ln((neg + 1) / (n + v)::DOUBLE) AS weight FROM l, t),
+s AS (SELECT w.doc_id, sum(weight) / count(weight) AS score FROM w LEFT JOIN x USING (word) GROUP BY w.doc_id)
+SELECT doc_id, round(coalesce(score, 0), 6) + 0.0 AS score FROM documents LEFT JOIN s USING (doc_id)
+""")
+def lexical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: a quality score from words' log-odds in labelled texts; any model can take its place (``operators.scoring``)."""
+    docs = documents(spark, sf_dir)
+    weights = scoring.word_weights(docs, table(spark, sf_dir, "labels"), "quality")
+    return scoring.lexical_scores(docs, weights).select(F.col("id").alias("doc_id"), (F.round("score", 6) + F.lit(0.0)).alias("score"))

@@ -309,3 +309,15 @@ def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("step")
     made = {"linear": schedules.linear(s, 100, 1000, 0.1), "inverse_sqrt": schedules.inverse_sqrt(s, 100, 0.5, 0.05), "cosine": schedules.cosine(s, 100, 1000, 0.1), "stable_decay": schedules.stable_decay(s, 100, 1000, 0.2, 0.1)}
     return steps.select("step", *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+@query(f"""
+WITH {_GRID}, b AS (SELECT p_brand, p_size, min(loss) AS loss FROM g GROUP BY ALL), j AS (SELECT a.p_brand AS a, b.p_brand AS b, a.p_size, a.loss AS la, b.loss AS lb FROM b a JOIN b ON a.p_size = b.p_size AND a.p_brand < b.p_brand)
+SELECT a, b, count(*) AS shared, arg_min(p_size, la) AS best_a, arg_min(p_size, lb) AS best_b FROM j GROUP BY a, b HAVING count(*) >= 3
+""")
+def shared_grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of families over the grid points that both have (three at least), with each one's best there."""
+    best = _grid(spark, sf_dir).groupBy("p_brand", "p_size").agg(F.min("loss").alias("loss"))
+    a, b = best.select(F.col("p_brand").alias("a"), "p_size", F.col("loss").alias("la")), best.select(F.col("p_brand").alias("b"), "p_size", F.col("loss").alias("lb"))
+    joined = a.join(b, "p_size").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min_by("p_size", "la").alias("best_a"), F.min_by("p_size", "lb").alias("best_b"))
+    return joined.where("shared >= 3")

@@ -63,3 +63,15 @@ def finished(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
     finally:
         query.stop()
     return stream.sparkSession.table(name)
+
+
+def with_refreshed_weights(stream: DataFrame, weights_path: str, source: str, out: str, checkpoint: str):  # noqa: ANN201
+    """Every batch joined to the weights as they are when it starts: a small table (``source, weight``) that another job may replace
+    between batches. Rows of sources without a weight get 0. A batch that runs again writes the same folder again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        weights = batch.sparkSession.read.parquet(weights_path).select(source, "weight")
+        weighted = batch.join(weights, source, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        weighted.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

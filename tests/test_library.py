@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import arrays, text
-from corpusloom.operators import align, dedup, experiments, layout, statistics, tokens, vectors
+from corpusloom.operators import align, dedup, experiments, layout, scoring, statistics, tokens, vectors
 from corpusloom.operators.order import hash_ranked, interval_join, numbered, running_sum, value_ranked
 from corpusloom.plans.scratch import Scratch
 from corpusloom.sources import jsonl, sinks
+from corpusloom.streaming import state
 
 SCHEMA = T.StructType().add("text", "string").add("content", "string").add("original_text", "string")
 
@@ -237,3 +238,30 @@ def test_reports(spark):
     assert json.loads(sinks.provenance(df, seed=3)) == {"rows": 1, "seed": 3}
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(3), 2)
+
+
+def test_epochs_of_nothing_stop(spark):
+    assert layout.epochs(spark.range(3), 2).count() == 6
+    with pytest.raises(ValueError):
+        layout.epochs(spark.range(0), 2)
+
+
+def test_pluggable_scorer(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    assert {r["id"]: r["value"] for r in scoring.applied(df, "doc_id", "text", lambda: lambda texts: [float(len(t)) for t in texts]).collect()} == {1: 3.0, 2: 0.0}
+    embedded = scoring.applied(df, "doc_id", "text", lambda: lambda texts: [[1.0, 0.5] for _ in texts], "array<double>")
+    assert embedded.first()["value"] == [1.0, 0.5]
+
+
+def test_streams(spark, tmp_path):
+    rows = [(i, i % 3, float(i)) for i in range(30)]
+    spark.createDataFrame(rows, "id long, source long, value double").repartition(3).write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    first = state.finished(state.keep_first(state.read_files(spark, str(tmp_path / "in"), schema, 1), ["source"]), "first", "append", str(tmp_path / "c1"))
+    assert first.count() == 3
+    ema = state.finished(state.excess_controller(state.read_files(spark, str(tmp_path / "in"), schema, 1), "source", "value", 0.5), "ema", "update", str(tmp_path / "c2"))
+    assert {r["source"] for r in ema.collect()} == {"0", "1", "2"} and all(r["batches"] >= 1 for r in ema.collect())
+    spark.createDataFrame([(0, 2.0), (1, 3.0)], "source long, weight double").write.parquet(str(tmp_path / "w"))
+    state.with_refreshed_weights(state.read_files(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "w"), "source", str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 30 and {(r["source"], r["weight"]) for r in back.collect()} == {(0, 2.0), (1, 3.0), (2, 0.0)}
