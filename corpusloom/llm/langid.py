@@ -33,6 +33,8 @@ from corpusloom.llm.toxicity import fold
 
 MOST_DOCS = 800
 LONGEST = 48
+#: Languages up to which their document counts are broadcast.
+MOST_LANGS = 10_000
 ROUNDS = 3
 REMEMBERED = 400_000
 #: Weight of the pooled probabilities, and the probability of a letter that no piece covers.
@@ -194,6 +196,8 @@ def train(docs: DataFrame, path: str, most: int = MOST_DOCS) -> tuple[Unigrams,
     """The models and their languages in order, learnt from ``text`` and ``lang`` of rows that are not held out."""
     rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     number = rows.groupBy("lang").count()  # one row a language
+    if number.count() <= MOST_LANGS:
+        number = F.broadcast(number)
     number = number.select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     texts = docs.select("doc_id", "lang", "text").where("lang is not null and doc_id is not null and text is not null").where(fold(F.col("doc_id")) != 0)
