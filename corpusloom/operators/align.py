@@ -19,7 +19,8 @@ def aligned(source: DataFrame, derived: DataFrame, row: str, key: str, strict: b
 
 
 def unpaired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``only_left, only_right``: distinct rows that the other side lacks."""
-    a = left.subtract(right).agg(F.count("*").alias("only_left")).withColumn("_k", F.lit(0))
-    b = right.subtract(left).agg(F.count("*").alias("only_right")).withColumn("_k", F.lit(0))
-    return a.join(b, "_k").drop("_k")
+    """``only_left, only_right``: distinct rows that the other side lacks, from one aggregation over both."""
+    keys = left.columns
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)))
+    sides = both.groupBy(*keys).agg(F.bool_or("_left").alias("_l"), F.bool_and("_left").alias("_a"))
+    return sides.agg(F.count_if(F.col("_l") & F.col("_a")).alias("only_left"), F.count_if(~F.col("_l")).alias("only_right"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.order import interval_join
+
 
 def binned_means(log: DataFrame, keys: Sequence[str], step: str, loss: str, last: str, order: str, width: int = 50) -> DataFrame:
     """Per bin of ``width`` steps (from 1): mean finite loss, last step and last value of ``last``, all in ``order``."""
@@ -68,11 +70,19 @@ def routed(df: DataFrame, doc: str, expert: str, nll: str) -> DataFrame:
 
 
 def schedule_at(overrides: DataFrame, steps: DataFrame, step: str = "step") -> DataFrame:
-    """For every asked step, the latest overrides at or before it (only those: skipped milestones do not add up)."""
+    """For every asked step, the latest overrides at or before it (only those: skipped milestones do not add up): ``asked``, the
+    milestone and its ``weights``, null before the first. Steps meet milestones by an interval join."""
     asked = steps.select(F.col(step).alias("asked"))
-    ranges = overrides.groupBy(step).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "weight")))).alias("weights"))  # sparse by nature
-    ranges = ranges.withColumn("_until", F.lead(step).over(Window.orderBy(step)))  # one row a milestone
-    return asked.join(F.broadcast(ranges) if ranges.count() <= 10_000 else ranges, (F.col("asked") >= F.col(step)) & (F.col("_until").isNull() | (F.col("asked") < F.col("_until"))), "left").drop("_until")
+    marks = overrides.groupBy(step).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "weight")))).alias("weights"))
+    bounds = marks.agg(F.min(step).alias("first"), F.count("*").alias("n")).first()
+    if not bounds["n"]:
+        return asked.select("asked", F.lit(None).cast("long").alias(step), F.lit(None).cast("map<string,double>").alias("weights"))
+    end = max(asked.agg(F.max("asked")).first()[0] or 0, bounds["first"]) + 1
+    spans = marks.withColumn("_until", F.coalesce(F.lead(step).over(Window.orderBy(step)), F.lit(end)))  # one row a milestone
+    width = max(1, (end - bounds["first"]) // (4 * bounds["n"]))
+    found = interval_join(asked, spans.where(F.col(step) < end), "asked", step, "_until", width).drop("_until")
+    before = asked.where(F.col("asked") < bounds["first"]).select("asked", F.lit(None).cast("long").alias(step), F.lit(None).cast("map<string,double>").alias("weights"))
+    return found.select("asked", step, "weights").unionByName(before)
 
 
 def streaks(df: DataFrame, keys: Sequence[str], order: str, bad: Column) -> DataFrame:

@@ -444,7 +444,8 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3's extension: how much of each benchmark item's 13-grams a document holds."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
-        w = df.select(key, text.words(F.col("text")).alias("w")).where(F.size("w") >= 13)
+        hashed = F.transform(text.words(F.col("text")), lambda x: F.xxhash64(x))
+        w = df.select(key, hashed.alias("w")).where(F.size("w") >= 13)
         each = F.transform(F.sequence(F.lit(1), F.size("w") - 12), lambda i: F.xxhash64(F.slice("w", i, 13)))
         return w.select(key, F.explode(F.array_distinct(each)).alias("g"))
 

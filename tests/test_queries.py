@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -43,6 +44,8 @@ def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, DATA)
     got = df.collect()
     assert df.columns
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     sql = catalog.oracle_sql().get(name)
     if sql:
         cur = duck.execute(sql)
@@ -53,3 +56,15 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert catalog.flagship(spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name, columns", [("byte_tokenize_offsets", {"doc_id", "text", "source"}), ("last_write_wins", {"event_id", "ts", "user_id", "event_type", "value", "props"}), ("pricing_summary", {"l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"})])
+def test_scans_read_only_what_is_needed(spark, name, columns):
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
+        assert {c.split(":")[0] for c in schema.split(",")} <= columns
+
+
+def test_filters_reach_the_scan(spark):
+    plan = catalog.queries()["pricing_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(l_shipdate" in plan
