@@ -24,6 +24,8 @@ from corpusloom.plans.scratch import Scratch
 SPAN = 10
 MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 8, 9))
 OVERLAP = 13
+#: Places of a block.
+BLOCK = 64
 BROADCAST_ROWS = 2_000_000
 
 
@@ -33,23 +35,17 @@ def words(text: Column) -> Column:
     return F.transform(split, lambda w: F.xxhash64(w))
 
 
-def seeds(hashed: Column) -> Column:
-    """Hashes of all masks at all places: place p of mask k is entry k * (n - SPAN + 1) + p."""
-
-    def masked(w: Column, number: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - SPAN), lambda i: F.xxhash64(F.lit(number), *[w[i + d] for d in mask]))
-
-    def all_masks(w: Column) -> Column:
-        return F.concat(*[masked(w, k, mask) for k, mask in enumerate(MASKS)])
-
-    return F.when(F.size(hashed) >= SPAN, F.transform(F.array(hashed), all_masks)[0])
-
-
 def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``place`` and ``seed`` of every hash of the rows' ``words``."""
-    n = F.size("words") - (SPAN - 1)
-    exploded = rows.select(*keys, n.alias("_n"), F.posexplode(seeds(F.col("words"))).alias("_at", "seed"))
-    return exploded.select(*keys, F.pmod("_at", "_n").alias("place"), "seed")
+    """``keys``, ``place`` and ``seed`` of every place and mask of the rows' ``words``.
+
+    Words are cut into blocks that overlap by a span, and blocks are exploded into places: array reads and hashes are then generated
+    code, and where Spark falls back to copying rows, it copies a block and not a text.
+    """
+    cut = F.transform(F.sequence(F.lit(0), F.size("words") - SPAN, F.lit(BLOCK)), lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, BLOCK + SPAN - 1).alias("w")))
+    blocks = rows.where(F.size("words") >= SPAN).select(*keys, F.explode(cut).alias("_b")).select(*keys, F.col("_b.start").alias("_start"), F.col("_b.w").alias("_w"))
+    places = blocks.select(*keys, "_start", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - SPAN)).alias("_i"))
+    seeds = F.array(*[F.xxhash64(F.lit(k), *[F.get("_w", F.col("_i") + d) for d in mask]) for k, mask in enumerate(MASKS)])
+    return places.select(*keys, (F.col("_start") + F.col("_i")).alias("place"), F.explode(seeds).alias("seed"))
 
 
 def items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
