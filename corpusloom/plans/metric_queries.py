@@ -84,7 +84,7 @@ def validation_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_LAST}, m AS (SELECT c_custkey AS user_id, s.k FROM customer, (SELECT unnest([10, 50, 90]) AS k) s) SELECT m.user_id, m.k, round(l.value, 6) AS purchase FROM m LEFT JOIN l ON l.user_id = m.user_id AND l.k = m.k AND l.event_type = 'purchase'
+WITH {_LAST}, m AS (SELECT c_custkey AS user_id, s.k FROM customer, (SELECT unnest([10, 50, 90]::BIGINT[]) AS k) s) SELECT m.user_id, m.k, round(l.value, 6) AS purchase FROM m LEFT JOIN l ON l.user_id = m.user_id AND l.k = m.k AND l.event_type = 'purchase'
 """)
 def manifest_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows with their metric at exactly the step asked for; absent ones are null."""
@@ -253,7 +253,7 @@ def shard_merge_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT * FROM (VALUES (0, 'a', 1.0::DOUBLE), (100, 'a', 2.0), (100, 'b', 0.5), (250, 'b', 3.0), (700, 'c', 1.5)) t(step, source, weight)),
+WITH o AS (SELECT * FROM (VALUES (0::BIGINT, 'a', 1.0::DOUBLE), (100, 'a', 2.0), (100, 'b', 0.5), (250, 'b', 3.0), (700, 'c', 1.5)) t(step, source, weight)),
 a AS (SELECT doc_id AS asked, (SELECT max(step) FROM o WHERE step <= doc_id) AS step FROM documents)
 SELECT asked, a.step, string_agg(source || '=' || round(weight, 2), ',' ORDER BY source) AS weights FROM a JOIN o ON o.step = a.step GROUP BY ALL
 """)
