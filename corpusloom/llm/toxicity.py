@@ -36,7 +36,7 @@ from corpusloom.llm.ragged import Table, Words
 ORDER, DISCOUNT = 6, 0.75
 WINDOWS = (2, 4)
 MOST_DOCS = 2500
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _WORD = regex.compile(r"\p{L}+")
 _OPEN, _CLOSE = "\x02", "\x03"
 
