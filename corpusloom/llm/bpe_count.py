@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 REMEMBERED = 400_000
 #: Pre-tokens merged at once.
 MERGED_AT_ONCE = 50_000
+#: Characters of a text that are split into words at once.
+PART = 1 << 20
+_LONE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 _LATIN = re.compile(r"[^\x00-\x1b\x20-\u024f]")
 # The vocabulary file's split pattern, for lower-case text below U+0250. Python's \w there is letters, digits, numbers and "_".
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
@@ -150,6 +153,11 @@ class Counter:
         return _SPLIT.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
 
     def count(self, texts: list[str]) -> list[int]:
+        if any(len(t) > PART for t in texts):
+            return [sum(self._count([p])[0] for p in parts(t)) if len(t) > PART else self._count([t])[0] for t in texts]
+        return self._count(texts)
+
+    def _count(self, texts: list[str]) -> list[int]:
         extra, split = [0] * len(texts), []
         for k, text in enumerate(texts):
             if "<|" in text and self.special.search(text):
@@ -169,6 +177,19 @@ class Counter:
         return [n + sum(map(known.__getitem__, tokens)) for n, tokens in zip(extra, split, strict=True)]
 
 
+def parts(text: str, most: int = PART) -> list[str]:
+    """A long text in parts of about ``most`` characters that begin at a lone space between two other characters, where no word, no
+    pre-token and no special string can lie across; a text without such a place stays whole."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = _LONE.search(text, at + most)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 def slices(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
     """Runs of texts of about ``most`` characters; a longer text is alone."""
     at = size = 0

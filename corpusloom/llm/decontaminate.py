@@ -11,7 +11,8 @@ are read again only for documents with hits, and these are found by a join on th
 
 Defined cases: null texts and texts under ``SPAN`` words have no overlap; items under ``SPAN`` words are too short to tell from common
 phrases and match nothing; null and repeated document ids are told apart by their text; repeated rows get the same verdict; repeated
-and null item ids are one item per distinct row; extra columns are ignored; empty tables give no overlaps.
+and null item ids are one item per distinct row; extra columns are ignored by ``overlaps`` and stay in ``verdicts``, whose results
+replace columns of their own names (names that begin with an underscore are reserved); empty tables give no overlaps.
 """
 
 from __future__ import annotations

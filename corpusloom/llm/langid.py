@@ -19,6 +19,7 @@ the first language in order; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe_count import slices
+from corpusloom.llm.bpe_count import PART, parts, slices
 from corpusloom.llm.ragged import Table, Words
 from corpusloom.llm.toxicity import fold
 
@@ -169,7 +170,17 @@ class Identifier:
         self.known: dict[str, int] = {}
         self.values = np.zeros((0, len(langs)))
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def _totals(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """Log-probabilities by language, and the number of words, of each text."""
+        if any(len(t) > PART for t in texts):
+            out = []
+            for t in texts:
+                each = [self._short([p])[0] for p in parts(t)]
+                out.append((sum(x for x, _ in each), sum(n for _, n in each)))
+            return out
+        return self._short(texts)
+
+    def _short(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         split = [letters(t) for t in texts]
         fresh = [*set().union(*split).difference(self.known)] if split else []
         if len(self.known) + len(fresh) > REMEMBERED:
@@ -179,13 +190,16 @@ class Identifier:
             new = [self.model.score(fresh[a : a + 20_000]) for a in range(0, len(fresh), 20_000)]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.values = np.concatenate([self.values, *new])
+        return [(self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0), len(words)) for words in split]
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for words in split:
-            if not words:
+        for total, n in self._totals(texts):
+            if not n:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0) / len(words) ** 0.5
+            total = total / n**0.5
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
@@ -203,16 +217,30 @@ def train(docs: DataFrame, path: str, most: int = MOST_DOCS) -> tuple[Unigrams,
     texts = docs.select("doc_id", "lang", "text").where("lang is not null and doc_id is not null and text is not null").where(fold(F.col("doc_id")) != 0)
     drawn = texts.withColumn("draw", draw).join(number, "lang").where("draw < share")
     words = drawn.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-    counted = words.groupBy("lang", "word").count().toPandas()
-    if not len(counted):
-        return None
-    langs = sorted(counted["lang"].unique().tolist())
-    parts = [(w[a : a + LONGEST], lang, n) for w, lang, n in zip(counted["word"], counted["lang"], counted["count"], strict=True) for a in range(0, len(w), LONGEST)]
-    distinct = sorted({w for w, _, _ in parts})
-    row, column = {w: i for i, w in enumerate(distinct)}, {x: i for i, x in enumerate(langs)}
+    counted = words.groupBy("lang", "word").count()
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In one task, since the sample is bounded: the models, pickled in parts."""
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if rows:
+            data = pickle.dumps(_fit(rows, path), protocol=5)
+            for at in range(0, len(data), 4 << 20):
+                yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
+
+    packed = counted.coalesce(1).mapInArrow(fitted, "part binary").collect()
+    return pickle.loads(b"".join(r["part"] for r in packed)) if packed else None
+
+
+def _fit(rows: list[tuple[str, str, int]], path: str) -> tuple[Unigrams, list[str]]:
+    """Models from (language, word, count), in the same order of words whatever the rows' order."""
+    langs = sorted({lang for lang, _, _ in rows})
+    column = {x: i for i, x in enumerate(langs)}
+    each = [(w[a : a + LONGEST], column[lang], n) for lang, w, n in rows for a in range(0, len(w), LONGEST)]
+    distinct = sorted({w for w, _, _ in each})
+    row = {w: i for i, w in enumerate(distinct)}
     counts = np.zeros((len(distinct), len(langs)))
-    for w, lang, n in parts:
-        counts[row[w], column[lang]] += n
+    for w, j, n in each:
+        counts[row[w], j] += n
     model = Unigrams(vocabulary(path))
     model.fit(distinct, counts)
     return model, langs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe_count import byte_symbols, slices
+from corpusloom.llm.bpe_count import PART, byte_symbols, parts, slices
 from corpusloom.plans.scratch import Scratch
 
 BUCKETS = 1024
@@ -63,6 +63,11 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if any(len(t) > PART for t in texts):
+            return [b"".join(self._encode([p])[0] for p in parts(t)) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.fast is not None and not (_RARE.search(t) or any(s in t for s in self.special)) for t in texts]
         other = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if p else np.array(next(other).ids, dtype="<u4").tobytes() for t, p in zip(texts, plain, strict=True)]

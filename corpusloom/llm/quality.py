@@ -10,7 +10,8 @@ host's failure rate is shrunk towards the corpus rate with a beta prior whose st
 * a document that breaks no rule is kept, whatever its host.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows are judged row by
-row; texts are taken whole; extra columns are ignored; an empty table gives an empty result.
+row; texts are taken whole; extra columns stay, except that the measures replace columns of their own names and names that begin with
+an underscore are reserved; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,11 +116,12 @@ def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", text_col:
 def verdicts(failed: DataFrame, scratch: Scratch, host_col: str = "source") -> DataFrame:
     """The rows of ``failures`` (a written table, since it is read twice) with their host's verdict and ``kept``."""
     rates = scratch.table(host_rates(failed, host_col), "hosts")
-    joined = failed.join(rates, failed[host_col].eqNullSafe(rates["host"]), "left")
+    rates = rates.withColumnRenamed("host", "_host")
+    joined = failed.join(rates, failed[host_col].eqNullSafe(rates["_host"]), "left")
     hard = F.lit(False)
     usual = F.lit(False)
     for r in RULES:
         hard = hard | (F.col(r) >= 2)
         usual = usual | ((F.col(r) >= 1) & (F.col(f"rate_{r}") > HOST_RATE))
     judged = joined.withColumns({"host_failed": usual, "kept": ~(F.col("base_failed") | hard | usual)})
-    return judged.drop("host", *[f"rate_{r}" for r in RULES])
+    return judged.drop("_host", *[f"rate_{r}" for r in RULES])

@@ -7,8 +7,14 @@ fingerprint from prefix sums, and shingles mix the fingerprints of their words.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
+#: Bytes that are classified at once.
+PART = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 #: A-Z to a-z, and every separator byte to a space.
@@ -35,8 +41,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words of ``texts`` in order, and the offsets (one more than texts) of each text's words."""
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of texts that are short together."""
     data = _FOLD[np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)]
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
@@ -51,6 +57,35 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, limits, side="left")
 
 
+def _long(text: bytes) -> np.ndarray:
+    """Word fingerprints of a long text, part by part; a word of ``PART`` bytes or more is hashed by itself."""
+    found, at = [], 0
+    while len(text) - at >= PART:
+        cut = max(text.rfind(b, at, at + PART) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut >= at:
+            found.append(_hashed([text[at:cut]])[0])
+            at = cut + 1
+        else:
+            end = _BLANK.search(text, at)
+            stop = end.start() if end else len(text)
+            word = text[at:stop].lower()
+            found.append(np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), dtype="<u8").astype(_U))
+            at = stop
+    found.append(_hashed([text[at:]])[0])
+    return np.concatenate(found)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words of ``texts`` in order, and the offsets (one more than texts) of each text's words."""
+    if all(len(t) < PART for t in texts):
+        return _hashed(texts)
+    found, offsets = [], [0]
+    for t in texts:
+        found.append(_long(t) if len(t) >= PART else _hashed([t])[0])
+        offsets.append(offsets[-1] + len(found[-1]))
+    return np.concatenate(found), np.array(offsets, dtype=np.int64)
+
+
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle fingerprints of each text; a shorter text has its whole word sequence as the only one."""
     hashes, offsets = word_hashes(texts)

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe_count import slices
+from corpusloom.llm.bpe_count import PART, parts, slices
 from corpusloom.llm.ragged import Table, Words
 
 ORDER, DISCOUNT = 6, 0.75
@@ -128,7 +128,20 @@ class Scorer:
         self.values = np.zeros((0, 2))
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        split = [_WORD.findall(t.lower()) for t in texts]
+        return np.array([self._long(t) for t in texts]) if any(len(t) > PART for t in texts) else self._evidence([_WORD.findall(t.lower()) for t in texts])
+
+    def _long(self, text: str) -> float:
+        """A long text part by part; each begins with the last words of the one before, so that no window is lost."""
+        carried, best = [], None
+        for part in parts(text):
+            words = carried + _WORD.findall(part.lower())
+            if words:
+                found = float(self._evidence([words])[0])
+                best = found if best is None else max(best, found)
+                carried = words[-(max(WINDOWS) - 1) :]
+        return best or 0.0
+
+    def _evidence(self, split: list[list[str]]) -> np.ndarray:
         fresh = [*set().union(*split).difference(self.known)] if split else []
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known, self.values = {}, np.zeros((0, 2))
@@ -137,7 +150,7 @@ class Scorer:
             new = [np.column_stack((self.model.llr(part), [len(w) + 1 for w in part])) for part in (fresh[a : a + 50_000] for a in range(0, len(fresh), 50_000))]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.values = np.concatenate([self.values, *new])
-        out = np.zeros(len(texts))
+        out = np.zeros(len(split))
         for k, words in enumerate(split):
             if words:
                 rows = self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]

@@ -160,6 +160,49 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(n), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_long_texts_in_parts_are_like_whole_ones(monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["Ab", "c" * 50, "é", "x\n\n", "\t", "q" * 300]) for _ in range(n)).encode() for n in (0, 3, 400, 900)] + [b"w" * 5000, b" " * 3000 + b"a b c d e f"]
+    whole = shingles.shingle_sets(texts)
+    monkeypatch.setattr(shingles, "PART", 256)
+    words = [[w for w in t.lower().split()] for t in texts]
+    hashes, offsets = shingles.word_hashes(texts)
+    assert np.diff(offsets).tolist() == [len(w) for w in words]
+    seen = {}
+    for w, h in zip([w for ws in words for w in ws], hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert [len(s) for s in shingles.shingle_sets(texts)] == [len(s) for s in whole]
+
+
+def test_parts_do_not_change_tokens(monkeypatch):
+    rng = random.Random(14)
+    texts = ["".join(rng.choice(["a", "b ", "  ", "é ", "\n", "' s", "12 ", "<|endoftext|>", " x", "中"]) for _ in range(600)) for _ in range(20)]
+    counter, encoder = bpe_count.Counter(WORD), packing.Encoder(BYTE)
+    counts, ids = counter.count(texts), encoder.encode(texts)
+    for module in (bpe_count, packing):
+        monkeypatch.setattr(module, "PART", 50)
+    monkeypatch.setattr(bpe_count.parts, "__defaults__", (50,))
+    assert max(len(bpe_count.parts(t)) for t in texts) > 5 and all("".join(bpe_count.parts(t)) == t for t in texts)
+    assert counter.count(texts) == counts and encoder.encode(texts) == ids
+
+
+def test_parts_do_not_change_scores(monkeypatch):
+    rng = random.Random(15)
+    text = pseudo(rng, 300) + " zorgul " + pseudo(rng, 300)
+    scorer = toxicity.Scorer(toxicity.Contrast(["zorgul", "thing", "thering", "on"], np.array([[0.0, 9.0], [9.0, 2.0], [5.0, 1.0], [9.0, 3.0]])))
+    model = langid.Unigrams(langid.vocabulary(PIECE))
+    model.fit(pseudo(rng, 200).split() + ["eau"], np.array([[1.0, 0.2]] * 200 + [[0.0, 5.0]]), rounds=1)
+    identifier = langid.Identifier(model, ["a", "b"])
+    whole = scorer.evidence([text]), identifier.predict([text])
+    for module in (toxicity, langid):
+        monkeypatch.setattr(module, "PART", 100)
+    monkeypatch.setattr(bpe_count.parts, "__defaults__", (100,))
+    assert np.allclose(scorer.evidence([text]), whole[0])
+    got = identifier.predict([text])
+    assert got[0] == whole[1][0] and np.allclose(got[1], whole[1][1])
+
+
 # ---- chat
 
 
