@@ -321,3 +321,53 @@ def shared_grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = best.select(F.col("p_brand").alias("a"), "p_size", F.col("loss").alias("la")), best.select(F.col("p_brand").alias("b"), "p_size", F.col("loss").alias("lb"))
     joined = a.join(b, "p_size").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min_by("p_size", "la").alias("best_a"), F.min_by("p_size", "lb").alias("best_b"))
     return joined.where("shared >= 3")
+
+
+@query("""
+WITH u AS (SELECT conv_id, min(turn) AS t, arg_min(text, turn) AS a FROM conversations WHERE role = 'user' GROUP BY 1), v AS (SELECT conv_id, arg_min(text, turn) AS b FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT u.conv_id, CAST(length(a) AS BIGINT) AS first_arm, CAST(length(b) AS BIGINT) AS second_arm, CAST(length(d.text) AS BIGINT) AS source FROM u JOIN v USING (conv_id) JOIN documents d ON d.doc_id = u.conv_id
+""")
+def two_arm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that both arms of a comparison have, with their source text looked up."""
+    turns = table(spark, sf_dir, "conversations")
+    arm = lambda role, name: turns.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by(F.length("text"), "turn").cast("long").alias(name))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.length("text").cast("long").alias("source"))
+    return arm("user", "first_arm").join(arm("assistant", "second_arm"), "conv_id").join(sources, "conv_id")
+
+
+@query("""
+SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, round(avg(CASE WHEN n_chars > 1000 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS long_share FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 16
+""")
+def largest_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the sixteen domains with most rows (the report's definition)."""
+    out = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.percentile("n_chars", 0.5), 6).alias("median"), F.round(F.avg((F.col("n_chars") > 1000).cast("double")), 6).alias("long_share"))
+    return out.orderBy(F.desc("n"), "source").limit(16)
+
+
+@query("""
+WITH t AS (SELECT p_brand AS name, avg(p_retailprice) AS v FROM part WHERE p_size % 2 = 0 AND p_brand < 'Brand#3' GROUP BY 1 UNION ALL SELECT p_brand || ':' || CASE WHEN p_size <= 25 THEN 'lower' ELSE 'upper' END, avg(p_retailprice) FROM part GROUP BY 1),
+k AS (SELECT t.* FROM t WHERE NOT EXISTS (SELECT 1 FROM t p WHERE t.name LIKE '%:%' AND p.name = split_part(t.name, ':', 1)))
+SELECT split_part(name, ':', 1) AS task, count(*) AS parts, round(avg(v), 6) AS score FROM k GROUP BY 1
+""")
+def suite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtasks go where their parent is there, and the halves of a task are one mean."""
+    part = table(spark, sf_dir, "part")
+    whole = part.where("p_size % 2 = 0 and p_brand < 'Brand#3'").groupBy(F.col("p_brand").alias("name")).agg(F.avg("p_retailprice").alias("v"))
+    half = F.concat("p_brand", F.lit(":"), F.when(F.col("p_size") <= 25, "lower").otherwise("upper"))
+    rows = whole.unionByName(part.groupBy(half.alias("name")).agg(F.avg("p_retailprice").alias("v"))).withColumn("task", F.split_part("name", F.lit(":"), F.lit(1)))
+    present = whole.select(F.col("name").alias("task"))
+    kept = rows.where(~F.col("name").contains(":")).unionByName(rows.where(F.col("name").contains(":")).join(present, "task", "left_anti").select("name", "v", "task"))
+    return kept.groupBy("task").agg(F.count("*").alias("parts"), F.round(F.avg("v"), 6).alias("score"))
+
+
+@query(f"""
+WITH {_GRID}, m AS (SELECT p_size, p_type, min(loss) AS best FROM g GROUP BY ALL), p AS (SELECT p_size, p_brand, avg(loss - best) AS penalty, count(*) AS cells FROM g JOIN m USING (p_size, p_type) GROUP BY ALL)
+SELECT p_size, arg_min(p_brand, penalty + CAST(replace(p_brand, 'Brand#', '') AS DOUBLE) * 1e-9) AS p_brand, round(min(penalty), 6) AS penalty FROM p GROUP BY p_size
+""")
+def panel_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every panel the one setting with the least mean penalty over its cells."""
+    grid = _grid(spark, sf_dir)
+    best = grid.groupBy("p_size", "p_type").agg(F.min("loss").alias("best"))
+    mean = grid.join(best, ["p_size", "p_type"]).groupBy("p_size", "p_brand").agg(F.avg(F.col("loss") - F.col("best")).alias("penalty"))
+    out = mean.groupBy("p_size").agg(F.min_by("p_brand", F.col("penalty") + F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("double") * 1e-9).alias("p_brand"), F.min("penalty").alias("penalty"))
+    return out.withColumn("penalty", F.round("penalty", 6))
