@@ -527,3 +527,26 @@ def test_packed_pieces(spark):
         assert at <= 1024
     assert len(by) <= 1.02 * sum(r["length"] for r in got) / 1024 + 1
     assert packing.pack(empty_docs(spark), BYTE).count() == 0
+
+
+# ---- all of them
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rng = random.Random(16)
+    names = ["n_bytes", "bits", "shard", "key", "sig", "words", "place", "seed", "item", "shift", "evidence", "score", "held_out", "length", "piece", "rank", "bucket", "n_words", "base_failed", "kept", "host", "group", "n", "own", "turn", "pieces", "formatted"]
+    docs = spark.createDataFrame([(i, pseudo(rng, 60), "en", f"s{i % 2}", 1, *["mine"] * len(names)) for i in range(8)], DOCS + "".join(f", `{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, pseudo(rng, 20), "mine", "mine")], "item_id long, text string, words string, doc_id string")
+    turns = spark.createDataFrame([(1, 0, "user", "x", "mine", "mine")], "conv_id long, turn long, role string, text string, pieces string, formatted string")
+    labels = spark.createDataFrame([(i, 1, i % 2, "mine") for i in range(8)], "doc_id long, quality int, toxic int, text string")
+    with Scratch(spark) as scratch:
+        assert neardup.near_duplicates(docs, scratch).count() == 8
+        assert decontaminate.verdicts(docs, decontaminate.overlaps(docs, bench, scratch), scratch).count() == 8
+        judged = quality.judge(docs, scratch)
+        assert judged.count() == 8 and judged.where("host = 'mine' and rank = 'mine'").count() == 8
+    assert chat.digests(chat.format_conversations(turns)).count() == 1
+    assert sharding.shard(docs, 1000).count() == 8
+    assert bpe_count.count_tokens(docs, WORD).count() == 8
+    assert langid.identify(docs, PIECE).count() == 8
+    assert toxicity.scores(docs, toxicity.train(docs, labels), ["doc_id", "score"]).count() == 8
+    assert packing.pack(docs, BYTE).count() == 8
