@@ -257,7 +257,7 @@ def identify(docs: DataFrame, path: str, most: int = MOST_DOCS) -> DataFrame:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if identifier:
-                for part in slices(texts):
+                for part in slices(texts, 1_000_000):
                     langs[part], scores[part] = identifier.predict(texts[part])
             yield pa.record_batch([*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

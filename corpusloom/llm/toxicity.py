@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> tuple[Co
             scorer = Scorer(held.value)
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                found = [scorer.evidence(texts[part]) for part in slices(texts)]
+                found = [scorer.evidence(texts[part]) for part in slices(texts, 1_000_000)]
                 yield pa.record_batch([pa.array(np.concatenate(found) if found else np.zeros(0)), batch.column(1)], ["evidence", "toxic"])
 
         seen = rows.where("fold = 4").select("text", "toxic").mapInArrow(run, "evidence double, toxic int").toPandas()
@@ -244,7 +244,7 @@ def scores(docs: DataFrame, model: tuple[Contrast, float, float] | None, carried
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             out = np.zeros(len(texts))
             if scorer:
-                for part in slices(texts):
+                for part in slices(texts, 1_000_000):
                     out[part] = 1 / (1 + np.exp(-np.clip(found[1] * scorer.evidence(texts[part]) + found[2], -30, 30)))
             yield pa.record_batch([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "_score"])
 
