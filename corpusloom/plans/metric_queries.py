@@ -50,13 +50,13 @@ def tail_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_LAST}, f AS (SELECT user_id, CASE WHEN event_type IN ('click', 'view') THEN 'browse' ELSE 'act' END AS family, event_type, avg(value) AS v FROM l GROUP BY ALL)
 SELECT user_id, family, n, mean, n = expected AS complete, CASE WHEN n = expected THEN mean END AS mean_if_complete FROM (
-  SELECT user_id, family, count(v) AS n, round(avg(v), 4) AS mean, CASE family WHEN 'browse' THEN 2 ELSE 3 END AS expected FROM f GROUP BY user_id, family)
+  SELECT user_id, family, count(v) AS n, round(avg(v), 10) AS mean, CASE family WHEN 'browse' THEN 2 ELSE 3 END AS expected FROM f GROUP BY user_id, family)
 """)
 def family_macro_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro averages over families of metrics; incomplete ones give no mean."""
     family = F.when(F.col("event_type").isin("click", "view"), "browse").otherwise("act")
     each = last(spark, sf_dir).groupBy("user_id", family.alias("family"), "event_type").agg(F.avg("value").alias("v"))
-    out = each.groupBy("user_id", "family").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
+    out = each.groupBy("user_id", "family").agg(F.count("v").alias("n"), F.round(F.avg("v"), 10).alias("mean"))
     complete = F.col("n") == F.when(F.col("family") == "browse", 2).otherwise(3)
     return out.withColumns({"complete": complete, "mean_if_complete": F.when(complete, F.col("mean"))})
 
