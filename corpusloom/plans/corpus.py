@@ -511,9 +511,11 @@ SELECT doc_id, CAST(o.start AS BIGINT) AS start, CAST(o.stop AS BIGINT) AS stop
 JOIN (SELECT s * 97 AS start, (s + 1) * 97 AS stop FROM range(0, 100000) t(s)) o ON d.doc_id >= o.start AND d.doc_id < o.stop
 """)
 def row_to_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file (row range) of every row, by an interval join on buckets."""
-    files = spark.range(100_000).select((F.col("id") * 97).alias("start"), ((F.col("id") + 1) * 97).alias("stop"))
-    return interval_join(documents(spark, sf_dir).select("doc_id"), files, "doc_id", "start", "stop", 128).select("doc_id", "start", "stop")
+    """The file (row range) of every row, by an interval join on buckets. The files are those that the ids ask for, however large
+    or sparse these are (the twin lists the files of ids under 9,700,000)."""
+    docs = documents(spark, sf_dir).select("doc_id")
+    files = docs.select((F.col("doc_id") - F.pmod("doc_id", F.lit(97))).alias("start")).distinct().withColumn("stop", F.col("start") + 97)
+    return interval_join(docs, files, "doc_id", "start", "stop", 128).select("doc_id", "start", "stop")
 
 
 @query("SELECT source, lang, count(*) AS n, CAST(count(DISTINCT text) AS BIGINT) AS texts, CAST(count(*) - count(DISTINCT text) AS BIGINT) AS duplicates FROM documents GROUP BY GROUPING SETS ((source), (lang), ())")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom import catalog
 from corpusloom.functions import arrays, text
 from corpusloom.operators import align, dedup, experiments, layout, scoring, statistics, tokens, vectors
 from corpusloom.operators.order import hash_ranked, interval_join, numbered, running_sum, value_ranked
@@ -91,6 +92,13 @@ def test_interval_join_equals_nested_loop(spark):
     assert sorted(map(tuple, got.collect())) == sorted((p, a, b) for p in points for a, b in spans if a <= p < b)
 
 
+def test_every_id_has_its_file(spark, tmp_path):
+    ids = [0, 96, 97, 97, 9_699_999, 9_700_000, 12_345_678, 2**53 + 1, 2**60 + 5, -1]
+    spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["row_to_file"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, i // 97 * 97, i // 97 * 97 + 97) for i in ids)
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("x ", ["INFEASIBLE ", "c1", None, "c2"]), ("y\n", ["UNFEASIBLE"])], "t string, c array<string>")
     got = df.select(text.with_contexts(F.col("t"), F.col("c"), "append", "|").alias("a"), text.with_contexts(F.col("t"), F.col("c"), "prepend", "|").alias("p"), text.context_boundary(F.col("t"), F.col("c"), "|").alias("b"), text.with_newline(F.col("t")).alias("n")).collect()
