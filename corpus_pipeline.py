@@ -19,8 +19,8 @@ from corpusloom.plans.scratch import Scratch
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half. Labels come from the ``labels`` table."""
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = toxicity.train(keyed.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in docs.columns if c == "lang"])
+    model = toxicity.train(keyed.drop("_row"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scores(keyed, model, ["_row"]).where("_score < 0.5").select("_row.*")
 
 

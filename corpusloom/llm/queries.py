@@ -71,7 +71,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in docs.columns if c == "lang"])
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     out = toxicity.scores(docs, model, ["doc_id"])
     held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")

@@ -6,17 +6,19 @@ A word is read with its boundaries. Given up to five characters before it, a cha
 
 with c_c the class's counts, n_c the number of distinct continuations and h' the context shortened by one. The lower orders p are
 interpolated Kneser-Ney with continuation counts that both classes share, so that what neither class has seen is neutral: there the
-two likelihoods differ by the backoff weights only. A word's evidence is the difference of its log-likelihoods, and a text's is the
+two likelihoods differ by the backoff weights only. The shared counts need no labels and are those of the words of all texts, labelled
+or not: they are aggregated and written as a table, of which the fit reads the rows of its own n-grams. A word's evidence is the difference of its log-likelihoods, and a text's is the
 largest length-normalised difference over its windows of ``WINDOWS`` words, for one insult makes a long text toxic. A logistic curve,
 fitted on labelled rows that the models have not seen, turns it into a score.
 
 Labels come from rows whose crc32(doc_id) mod 5 is 1, 2 or 3 for the counts and 4 for the curve; rows with remainder 0 are held out.
-The models are fitted on at most about ``MOST_DOCS`` labelled documents of each class and set (chosen by a hash of the id), which bounds
-what the driver gathers and broadcasts; scoring reads every text whole.
+The classes' counts and the curve are fitted on at most about ``MOST_DOCS`` labelled documents of each class and set, which bounds what
+the driver gathers and broadcasts. They are chosen by a hash of the id, as evenly over the languages of ``lang`` (where there is such a
+column) as these have documents; scoring reads every text whole.
 
 Defined cases: a null or wordless text has no evidence and gets the curve's score for none; repeated rows are scored row by row; a
-missing label is no label, and of several labels of one id the largest counts; without labels of both classes all scores are 0; extra
-columns are ignored.
+missing label is no label, and of several labels of one id the largest counts; without labels of both classes all scores are 0; other
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe_count import PART, parts, slices
 from corpusloom.llm.ragged import Table, Words
+from corpusloom.plans.scratch import Scratch
 
 ORDER, DISCOUNT = 6, 0.75
 WINDOWS = (2, 4)
-MOST_DOCS = 2500
+MOST_DOCS = 6000
+STRATA = 1024
+SLICE = 100_000
 REMEMBERED = 300_000
 _WORD = regex.compile(r"\p{L}+")
 _OPEN, _CLOSE = "\x02", "\x03"
@@ -56,54 +62,75 @@ def _grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at, width, context, gram
 
 
+def _continued(words: Words, order: int) -> np.ndarray:
+    """Distinct rows of fingerprints (longer, short, head): a gram of 1 to ``order - 1`` characters, with the character before it, and
+    without its last character."""
+    at = np.flatnonzero(words.place > 0)
+    rows = []
+    for w in range(1, order):  # grams of w characters, heads of w - 1
+        mine = at[words.place[at] >= w]  # a longer gram exists
+        longer, first = np.unique(words.fingerprints(w + 1)[mine - w], return_index=True)
+        mine = mine[first]
+        head = words.fingerprints(w - 1)[mine - w + 1] if w > 1 else np.zeros(len(mine), np.uint64)
+        rows.append(np.column_stack((longer, words.fingerprints(w)[mine - w + 1], head)))
+    return np.concatenate(rows)
+
+
+def _own_lower(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``Contrast``'s ``lower`` of these words alone."""
+    rows = _continued(words, order)
+    short, first, n = np.unique(rows[:, 1], return_index=True, return_counts=True)
+    _, back = np.unique(rows[first, 2], return_inverse=True)
+    return short, n, np.bincount(back, n)[back], np.bincount(back)[back]
+
+
 class Contrast:
     """Log-likelihood differences of the two classes, as tables of n-grams and contexts."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT) -> None:
-        """``counts``: for each word its number in the ordinary and in the toxic class."""
+    def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT, lower: tuple[np.ndarray, ...] | None = None) -> None:
+        """``counts``: for each word its number in the ordinary and in the toxic class. ``lower``: fingerprints of grams of less than
+        ``order`` characters, the number of distinct one-longer grams that end with each, and the sum of these numbers and the number of
+        grams over all that differ in the last character only; of ``words`` by default."""
         self.order = order
-        kept = Words([f"{_OPEN}{w}{_CLOSE}" for w in words])
-        at, width, context, gram = _grams(kept, order)
-        weight = counts[kept.word[at]].astype(np.float64)
-        shared = self._shared(kept, at, order, discount)
-        g, first, back = np.unique(gram, return_index=True, return_inverse=True)
-        c, cback = np.unique(context, return_inverse=True)
-        of = cback[first]  # context of each gram
-        total, seen, kinds = [], [], []
-        for k in (0, 1):
-            n = np.bincount(back, weight[:, k], len(g))
-            seen.append(n)
-            total.append(np.bincount(of, n, len(c)))
-            kinds.append(np.bincount(of, (n > 0).astype(float), len(c)))
-        base = shared[first]
-        del shared, gram, context, weight, cback
+        lower = lower or _own_lower(Words([f"{_OPEN}{w}{_CLOSE}" for w in words]), order)
+        rows = Table(lower[0])
+        found = []
+        for start in range(0, len(words), SLICE):
+            kept = Words([f"{_OPEN}{w}{_CLOSE}" for w in words[start : start + SLICE]])
+            at, _, context, gram = _grams(kept, order)
+            weight = counts[start : start + SLICE][kept.word[at]].astype(np.float64)
+            found.append(self._merged(gram, context, self._shared(kept, at, order, discount, rows, lower), weight[:, 0], weight[:, 1]))
+            if len(found) == 8:
+                found = [self._merged(*map(np.concatenate, zip(*found, strict=True)))]
+        g, context, base, *seen = self._merged(*map(np.concatenate, zip(*found, strict=True)))
+        c, of = np.unique(context, return_inverse=True)  # context of each gram
         logs, backs = [], []
-        for k in (0, 1):
-            full = np.maximum(total[k], 1e-9)
-            lam = np.where(total[k] > 0, np.minimum(1.0, discount * kinds[k] / full), 1.0)
+        for n in seen:
+            total, kinds = np.bincount(of, n, len(c)), np.bincount(of, (n > 0).astype(float), len(c))
+            full = np.maximum(total, 1e-9)
+            lam = np.where(total > 0, np.minimum(1.0, discount * kinds / full), 1.0)
             backs.append(np.log(lam))
-            logs.append(np.log(np.where(total[k][of] > 0, np.maximum(seen[k] - discount, 0) / full[of], 0) + lam[of] * base))
+            logs.append(np.log(np.where(total[of] > 0, np.maximum(n - discount, 0) / full[of], 0) + lam[of] * base))
         self.gram, self.gram_llr = Table(g), (logs[1] - logs[0]).astype(np.float32)
         self.context, self.context_llr = Table(c), (backs[1] - backs[0]).astype(np.float32)
 
     @staticmethod
-    def _shared(words: Words, at: np.ndarray, order: int, discount: float) -> np.ndarray:
+    def _merged(gram: np.ndarray, context: np.ndarray, base: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One row a gram, with the sums of its counts; context and shared probability depend on the gram alone."""
+        g, first, back = np.unique(gram, return_index=True, return_inverse=True)
+        return g, context[first], base[first], np.bincount(back, ordinary, len(g)), np.bincount(back, toxic, len(g))
+
+    @staticmethod
+    def _shared(words: Words, at: np.ndarray, order: int, discount: float, rows: Table, lower: tuple[np.ndarray, ...]) -> np.ndarray:
         """Shared lower-order probability of the character at each place, from the longest shorter context on: interpolated over
         orders, with the number of distinct one-longer grams as counts."""
+        _, count, total, types = lower
         prob = np.full(len(at), 1.0 / 256)
-        for w in range(1, order):  # grams of w characters, contexts of w - 1
+        for w in range(1, order):  # grams of w characters
             mine = np.flatnonzero(words.place[at] >= w)  # a longer gram exists
-            long = words.fingerprints(w + 1)[at[mine] - w]
-            short = words.fingerprints(w)[at[mine] - w + 1]
-            head = words.fingerprints(w - 1)[at[mine] - w + 1] if w > 1 else np.zeros(len(mine), np.uint64)
-            _, one = np.unique(long, return_index=True)
-            kinds, n = np.unique(short[one], return_counts=True)
-            count = n[np.searchsorted(kinds, short)].astype(float)
-            heads, back = np.unique(head, return_inverse=True)
-            total = np.bincount(back[one], minlength=len(heads)).astype(float)
-            _, kind_at = np.unique(short, return_index=True)
-            types = np.bincount(back[kind_at], minlength=len(heads)).astype(float)
-            prob[mine] = np.maximum(count - discount, 0) / total[back] + discount * types[back] / total[back] * prob[mine]
+            row = rows.find(words.fingerprints(w)[at[mine] - w + 1])
+            mine, row = mine[row >= 0], row[row >= 0]
+            prob[mine] = np.maximum(count[row] - discount, 0) / total[row] + discount * types[row] / total[row] * prob[mine]
         return prob
 
     def llr(self, words: list[str]) -> np.ndarray:
@@ -178,40 +205,86 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> DataFrame:
-    """``fold, toxic, doc_id, text`` of at most about ``most`` documents of each class for the counts, and as many for the curve."""
+def levels(counts: dict[int, int], most: int) -> int:
+    """The number of documents that each stratum gives at most, for ``most`` over all: small ones give all they have."""
+    left, level = most, most
+    for k, n in enumerate(sorted(counts.values())):
+        level = -(-left // (len(counts) - k))
+        if n > level:
+            return level
+        left -= n
+    return max(level, most)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST_DOCS) -> DataFrame:
+    """``fold, toxic, doc_id, text`` of at most about ``most`` documents of each class for the counts, and as many for the curve, spread
+    over the languages."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where("fold > 0")
-    number = {(r["curve"], r["toxic"]): r["count"] for r in marks.groupBy((F.col("fold") == 4).alias("curve"), "toxic").count().collect()}  # 4 rows at most
-    share = F.lit(0.0)
-    for (is_curve, toxic), n in number.items():
-        share = F.when(((F.col("fold") == 4) == is_curve) & (F.col("toxic") == toxic), F.lit(min(1.0, most / n))).otherwise(share)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    strata = docs.groupBy("doc_id").agg(F.min(F.pmod(F.xxhash64(lang), F.lit(STRATA))).cast("int").alias("stratum"))
+    marks = scratch.table(marks.join(strata, "doc_id").withColumn("curve", F.col("fold") == 4), "marks")
+    number: dict[tuple[bool, int], dict[int, int]] = {}
+    for r in marks.groupBy("curve", "toxic", "stratum").count().collect():  # 4 * STRATA rows at most
+        number.setdefault((r["curve"], r["toxic"]), {})[r["stratum"]] = r["count"]
+    shares = [(c, t, k, min(1.0, levels(counts, most) / n)) for (c, t), counts in number.items() for k, n in counts.items()]
+    share = docs.sparkSession.createDataFrame(shares, "curve boolean, toxic int, stratum int, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = marks.where(draw < share)
+    chosen = marks.join(F.broadcast(share), ["curve", "toxic", "stratum"]).where(draw < F.col("share")).select("doc_id", "toxic", "fold")
     if chosen.count() <= 8 * most:  # twice what is expected at most
         chosen = F.broadcast(chosen)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(chosen, "doc_id")
 
 
-def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fits the models on (word, ordinary, toxic) rows in one task, since the sample that they come from is bounded, and yields them
-    pickled in parts; nothing without both classes."""
-    words, counts = [], []
+def _words(column: str) -> Column:
+    return F.explode(F.expr(rf"regexp_extract_all(lower({column}), '\\p{{L}}+', 0)")).alias("word")
+
+
+def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_continued`` of words, distinct within each batch."""
     for batch in batches:
-        words += batch.column(0).to_pylist()
-        counts.append(np.column_stack((batch.column(1).to_numpy(), batch.column(2).to_numpy())))
-    if words and np.concatenate(counts).sum(axis=0).min() > 0:
-        data = pickle.dumps(Contrast(words, np.concatenate(counts)), protocol=5)
+        rows = _continued(Words([f"{_OPEN}{w}{_CLOSE}" for w in batch.column(0).to_pylist()]), ORDER).astype(np.int64)
+        yield pa.record_batch([pa.array(rows[:, k]) for k in range(3)], ["longer", "key", "head"])
+
+
+def lower_orders(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, n, total, types``: ``Contrast``'s ``lower`` of the words of all texts, as a written table."""
+    words = scratch.table(docs.select(_words("text")).distinct(), "words")
+    rows = words.mapInArrow(_continuations, "longer long, key long, head long").groupBy("longer").agg(F.first("key").alias("key"), F.first("head").alias("head"))
+    counts = scratch.table(rows.groupBy("key").agg(F.count("*").alias("n"), F.first("head").alias("head")), "continuations")
+    heads = counts.groupBy("head").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+    return scratch.table(counts.join(heads, "head").select("key", "n", "total", "types"), "lower")
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits the models in one task on (word, ordinary, toxic) rows and on the rows of ``lower_orders`` (without a word) that these need,
+    since the sample that they come from is bounded, and yields them pickled in parts; nothing without both classes."""
+    table = pa.Table.from_batches([*batches], pa.schema([("word", pa.string()), ("o", pa.int64()), ("t", pa.int64()), *((c, pa.int64()) for c in ("key", "n", "total", "types"))]))
+    own, lower = table.filter(pc.is_valid(table["word"])), table.filter(pc.is_null(table["word"]))
+    counts = np.column_stack((own["o"].to_numpy(), own["t"].to_numpy()))
+    if len(own) and counts.sum(axis=0).min() > 0:
+        shared = (lower["key"].to_numpy().astype(np.uint64), *(lower[c].to_numpy().astype(float) for c in ("n", "total", "types")))
+        data = pickle.dumps(Contrast(own["word"].to_pylist(), counts, lower=shared), protocol=5)
         for at in range(0, len(data), 4 << 20):
             yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> tuple[Contrast, float, float] | None:
     """The models and the curve; None without both classes."""
-    rows = labelled(docs, labels, most).persist()
+    with Scratch(docs.sparkSession) as scratch:
+        return _train(docs, labels, scratch, most)
+
+
+def _train(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int) -> tuple[Contrast, float, float] | None:
+    rows = labelled(docs, labels, scratch, most).persist()
     try:
-        counted = rows.where("fold < 4").select("toxic", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
-        packed = counted.coalesce(1).mapInArrow(_fitted, "part binary").collect()
+        counted = rows.where("fold < 4").select("toxic", _words("text")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
+        counted = scratch.table(counted, "counted")
+        if not all(counted.agg(F.sum("o"), F.sum("t")).first()):
+            return None
+        needed = counted.select("word").mapInArrow(_continuations, "longer long, key long, head long").select("key").distinct()
+        lower = lower_orders(docs, scratch).join(needed, "key", "left_semi")
+        packed = counted.unionByName(lower, allowMissingColumns=True).coalesce(1).mapInArrow(_fitted, "part binary").collect()
         if not packed:
             return None
         model = pickle.loads(b"".join(r["part"] for r in packed))

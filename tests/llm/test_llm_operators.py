@@ -470,6 +470,40 @@ def test_toxicity_without_both_classes(spark):
     assert toxicity.scores(empty_docs(spark), None, ["doc_id"]).count() == 0
 
 
+def test_shared_counts_cover_all_texts(spark):
+    """Continuation counts by brute force over every document, most of which have no label."""
+    texts = ["abab cab", "Bad abba", None, "", "zażółć gęślą", "abab abab", "cabab bad"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    with Scratch(spark) as scratch:
+        got = sorted((r["n"], r["total"], r["types"]) for r in toxicity.lower_orders(docs, scratch).collect())
+    words = {f"\x02{w}\x03" for t in texts for w in (t or "").lower().split()}
+    longer = {w[a : a + k + 1] for w in words for k in range(1, toxicity.ORDER) for a in range(len(w) - k)}
+    n = Counter(g[1:] for g in longer)
+    total, types = Counter(), Counter()
+    for g, k in n.items():
+        total[g[:-1]] += k
+        types[g[:-1]] += 1
+    assert got == sorted((k, total[g[:-1]], types[g[:-1]]) for g, k in n.items())
+
+
+def test_fit_uses_counts_of_unlabelled_texts(spark):
+    docs, labels, n = toxic_tables(spark, 120)
+    more = spark.createDataFrame([(10_000 + i, "zorgulon blatzing thering zorg", "en", "s", 1) for i in range(3)], DOCS)
+    one, two = toxicity.train(docs, labels)[0], toxicity.train(docs.unionByName(more), labels)[0]
+    assert not np.array_equal(one.gram_llr, two.gram_llr) and np.array_equal(one.context_llr, two.context_llr)
+
+
+def test_labels_are_drawn_from_every_language(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 40 == 0, "xx").otherwise("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    with Scratch(spark) as scratch:
+        got = toxicity.labelled(docs, labels, scratch, 200).where("fold < 4").collect()
+    drawn = Counter((r["toxic"], r["doc_id"] % 40 == 0) for r in got)
+    kept = Counter((int(i % 3 == 0), i % 40 == 0) for i in range(4000) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3))
+    for toxic in (0, 1):
+        assert drawn[toxic, True] == kept[toxic, True] and 100 < drawn[toxic, False] + drawn[toxic, True] < 300
+
+
 # ---- packing
 
 
