@@ -43,7 +43,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return sharding.written(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op5_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

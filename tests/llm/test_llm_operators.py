@@ -268,6 +268,25 @@ def test_equal_hash_bits_overflow_into_shards_that_fit(spark):
     assert Counter(r["shard"] for r in got).most_common()[0][1] == 2 and all(r["shard_bytes"] <= 1300 for r in got) and len(got) == 7
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(i, "x" * (i % 90), 0) for i in range(300)] + [(None, None, 1), (None, "z" * 50, 1), (5, "other", 1), (7, "y" * 5000, 1), (7, "v" * 4000, 1), (None, "u" * 3000, 1)] + [(8, "w" * 900, 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    with Scratch(spark) as scratch:
+        sharding.write_shards(docs, 2000, f"{tmp_path}/shards", scratch)
+    back = spark.read.parquet(f"{tmp_path}/shards").select("record.*", "folder").collect()
+    assert Counter(tuple(r)[:3] for r in back) == Counter(rows)
+    size, n = Counter(), Counter()
+    for r in back:
+        size[r["folder"]] += len(r["text"] or "")
+        n[r["folder"]] += 1
+    assert all(size[f] <= 2000 or n[f] == 1 and f.startswith("shard-large-") for f in size) and len([f for f in size if "large" in f]) == 3
+    key = lambda r: str(tuple(r)[:4])
+    got = sharding.written(docs, 2000).collect()
+    assert sorted(map(key, got)) == sorted(map(key, sharding.shard(docs, 2000).collect())) and len(got) == len(rows)
+    assert Counter(r["shard_bytes"] for r in got) == Counter(size[r["folder"]] for r in back)
+    assert sharding.written(empty_docs(spark), 10).count() == 0
+
+
 # ---- token counts
 
 
