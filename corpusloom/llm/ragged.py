@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from corpusloom.llm.shingles import mix
@@ -21,19 +23,40 @@ class Words:
         self.word = np.repeat(np.arange(len(words)), self.size)
         self.place = np.arange(len(self.chars)) - self.start[self.word]
 
+    def sums(self, most: int) -> Iterator[np.ndarray]:
+        """For lengths 1 to ``most``, what ``finished`` turns into fingerprints of the characters from every position on."""
+        n = len(self.chars)
+        codes, out = self.chars.astype(_U) + _U(1), np.zeros(n, _U)
+        for k in range(most):
+            out[: max(n - k, 0)] += codes[k:] * _UP[k]
+            yield out
+
+    @staticmethod
+    def finished(sums: np.ndarray, length: int) -> np.ndarray:
+        """Fingerprints of substrings of one length from their sums."""
+        return mix(sums + _U(length * 0xD6E8FEB86659FD93 % (1 << 64)))
+
     def fingerprints(self, length: int) -> np.ndarray:
         """Of the ``length`` characters from every position on, wherever a word may end; the caller masks what crosses an end."""
-        n = len(self.chars)
-        out = np.zeros(n, _U)
-        for k in range(length):
-            out[: n - k] += (self.chars[k:].astype(_U) + _U(1)) * _UP[k]
-        return mix(out + _U(length * 0xD6E8FEB86659FD93 % (1 << 64)))
+        out = np.zeros(len(self.chars), _U)
+        for out in self.sums(length):
+            pass
+        return self.finished(out, length)
+
+    def whole(self) -> np.ndarray:
+        """The fingerprint of every word; words are not empty."""
+        out = np.zeros(len(self.size), _U)
+        for length, sums in enumerate(self.sums(int(self.size.max(initial=0))), 1):
+            mine = np.flatnonzero(self.size == length)
+            out[mine] = self.finished(sums[self.start[mine]], length)
+        return out
 
 
 class Table:
-    """An open-addressing hash table from fingerprints to row numbers."""
+    """An open-addressing hash table from distinct fingerprints to row numbers. Only the fingerprints travel when it is pickled."""
 
     def __init__(self, keys: np.ndarray) -> None:
+        self.given = keys
         self.bits = max(10, int(len(keys) * 2 + 1).bit_length())
         size = 1 << self.bits
         self.keys = np.zeros(size, dtype=_U)
@@ -51,6 +74,9 @@ class Table:
             slot[left] = (slot[left] + 1) & (size - 1)
             self.probes += 1
 
+    def __reduce__(self) -> tuple:
+        return Table, (self.given,)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, or -1."""
         size = len(self.rows)

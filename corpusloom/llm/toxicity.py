@@ -1,29 +1,39 @@
-"""Toxicity from two class-conditional Kneser-Ney models over the characters of words.
+"""Toxicity from two class-conditional Kneser-Ney models over words and the characters of words.
 
-A word is read with its boundaries. Given up to five characters before it, a character has in each class the probability
+A word is read with its boundaries. Given up to ``ORDER - 1`` characters before it in the word, a character has in each class the
+probability
 
-    p_c(x | h) = max(c_c(h x) - D, 0) / c_c(h) + D n_c(h) / c_c(h) * p(x | h')
+    p_c(x | h) = max(c_c(h x) - d, 0) / c_c(h) + (sum of the discounts d after h) / c_c(h) * p(x | h')
 
-with c_c the class's counts, n_c the number of distinct continuations and h' the context shortened by one. The lower orders p are
-interpolated Kneser-Ney with continuation counts that both classes share, so that what neither class has seen is neutral: there the
-two likelihoods differ by the backoff weights only. The shared counts need no labels and are those of the words of all texts, labelled
-or not: they are aggregated and written as a table, of which the fit reads the rows of its own n-grams. A word's evidence is the difference of its log-likelihoods, and a text's is the
-largest length-normalised difference over its windows of ``WINDOWS`` words, for one insult makes a long text toxic. A logistic curve,
-fitted on labelled rows that the models have not seen, turns it into a score.
+with c_c the class's counts, d = ``DISCOUNT`` (a count of 1 is discounted whole) and h' the context shortened to ``SHARED - 1``
+characters or less. The lower orders p are interpolated Kneser-Ney with continuation counts that both classes share, so that what
+neither class has seen is neutral: there the two likelihoods differ by the backoff weights only. The shared counts need no labels and
+are those of the words of all texts, labelled or not. A word's probability is the product over its characters, and after another word
+it is
+
+    p_c(w | v) = max(c_c(v w) - D, 0) / c_c(v) + (sum of the discounts after v) / c_c(v) * p_c(w)
+
+where c_c counts the class's documents with that pair of words and D = ``PAIR_DISCOUNT``, so that only expressions of several labelled
+documents count beyond their words.
+
+A word's evidence is the difference of its log-likelihoods, and a text's is the mean over its ``BEST`` most toxic words (missing ones
+count 0): a few toxic words make a long text toxic, one that an ordinary text has by chance does not. A logistic curve, fitted on
+labelled rows that the models have not seen, turns it into a score.
 
 Labels come from rows whose crc32(doc_id) mod 5 is 1, 2 or 3 for the counts and 4 for the curve; rows with remainder 0 are held out.
-The classes' counts and the curve are fitted on at most about ``MOST_DOCS`` labelled documents of each class and set, which bounds what
-the driver gathers and broadcasts. They are chosen by a hash of the id, as evenly over the languages of ``lang`` (where there is such a
-column) as these have documents; scoring reads every text whole.
+The classes' counts and the curve are fitted on at most about ``MOST_DOCS`` labelled documents and ``MOST_BYTES`` of text of each class
+and set, which bounds what the driver gathers and broadcasts. They are chosen by a hash of the id, as evenly over the languages of
+``lang`` (where there is such a column) as these have documents; scoring reads every text whole.
 
 Defined cases: a null or wordless text has no evidence and gets the curve's score for none; repeated rows are scored row by row; a
-missing label is no label, and of several labels of one id the largest counts; without labels of both classes all scores are 0; other
-extra columns are ignored.
+missing label is no label, and of several labels of one id the largest counts; without labels of both classes all scores are 0; where
+the rows for the curve lack a class, ``DEFAULT_CURVE`` takes its place; other extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,152 +47,195 @@ from corpusloom.llm.bpe_count import PART, parts, slices
 from corpusloom.llm.ragged import Table, Words
 from corpusloom.plans.scratch import Scratch
 
-ORDER, DISCOUNT = 6, 0.75
-WINDOWS = (2, 4)
-MOST_DOCS = 6000
+ORDER, SHARED, DISCOUNT, PAIR_DISCOUNT = 10, 6, 0.75, 5
+BEST = 3
+#: Slope and intercept where they can't be fitted.
+DEFAULT_CURVE = (2.0, -10.0)
+MOST_DOCS, MOST_BYTES = 6000, 64 << 20
 STRATA = 1024
-SLICE = 100_000
 REMEMBERED = 300_000
 _WORD = regex.compile(r"\p{L}+")
 _OPEN, _CLOSE = "\x02", "\x03"
 
 
-def _grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every character after the first of each word: fingerprints of context and of context with character, with contexts of at
-    most ``order - 1`` characters that begin at the word's start or later."""
-    at = np.flatnonzero(words.place > 0)
-    width = np.minimum(words.place[at], order - 1)
-    context, gram = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    short = words.fingerprints(1)
-    for w in range(1, order):
-        mine, long = np.flatnonzero(width == w), words.fingerprints(w + 1)
-        context[mine] = short[at[mine] - w]
-        gram[mine] = long[at[mine] - w]
-        short = long
-    return at, width, context, gram
+def _bounded(words: list[str]) -> Words:
+    return Words([f"{_OPEN}{w}{_CLOSE}" for w in words])
 
 
-def _continued(words: Words, order: int) -> np.ndarray:
-    """Distinct rows of fingerprints (longer, short, head): a gram of 1 to ``order - 1`` characters, with the character before it, and
+def _grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every character after the first of each word: its position, and fingerprints of its context and of both together, with
+    contexts of at most ``ORDER - 1`` characters that begin at the word's start or later."""
+    at = np.flatnonzero(words.place > 0)
+    width = np.minimum(words.place[at], ORDER - 1)
+    context, gram = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    short = np.zeros(0, np.uint64)
+    for length, sums in enumerate(words.sums(ORDER), 1):
+        mine = np.flatnonzero(width == length - 1)
+        if length > 1 and len(mine):
+            first = at[mine] - length + 1
+            context[mine] = words.finished(short[first], length - 1)
+            gram[mine] = words.finished(sums[first], length)
+        short = sums.copy()
+    return at, context, gram
+
+
+def _continued(words: Words) -> np.ndarray:
+    """Distinct rows of fingerprints (longer, short, head): a gram of 1 to ``SHARED - 1`` characters, with the character before it, and
     without its last character."""
     at = np.flatnonzero(words.place > 0)
+    prints = [np.zeros(len(words.chars), np.uint64), *[words.finished(s, k) for k, s in enumerate(words.sums(SHARED), 1)]]
     rows = []
-    for w in range(1, order):  # grams of w characters, heads of w - 1
+    for w in range(1, SHARED):  # grams of w characters, heads of w - 1
         mine = at[words.place[at] >= w]  # a longer gram exists
-        longer, first = np.unique(words.fingerprints(w + 1)[mine - w], return_index=True)
+        longer, first = np.unique(prints[w + 1][mine - w], return_index=True)
         mine = mine[first]
-        head = words.fingerprints(w - 1)[mine - w + 1] if w > 1 else np.zeros(len(mine), np.uint64)
-        rows.append(np.column_stack((longer, words.fingerprints(w)[mine - w + 1], head)))
+        rows.append(np.column_stack((longer, prints[w][mine - w + 1], prints[w - 1][mine - w + 1])))
     return np.concatenate(rows)
 
 
-def _own_lower(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``Contrast``'s ``lower`` of these words alone."""
-    rows = _continued(words, order)
+def own_lower(words: list[str]) -> tuple[np.ndarray, ...]:
+    """Of these words alone: fingerprints of grams of less than ``SHARED`` characters, the number of distinct one-longer grams that end
+    with each, and the sum of these numbers and the number of grams over all that differ in the last character only."""
+    rows = _continued(_bounded(words))
+    rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
     short, first, n = np.unique(rows[:, 1], return_index=True, return_counts=True)
     _, back = np.unique(rows[first, 2], return_inverse=True)
     return short, n, np.bincount(back, n)[back], np.bincount(back)[back]
 
 
+def shared_probabilities(grams: list[str], lower: tuple[np.ndarray, ...]) -> np.ndarray:
+    """p(last character | the others), from grams that begin at the word's start or are ``ORDER`` long: interpolated over orders below
+    ``SHARED``, with the number of distinct one-longer grams as counts."""
+    keys, count, total, types = lower
+    rows, words = Table(keys), Words(grams)
+    last = words.start + words.size - 1
+    prob = np.full(len(grams), 1.0 / 256)
+    for w, sums in enumerate(words.sums(SHARED - 1), 1):  # grams of w characters
+        mine = np.flatnonzero(words.size > w)  # a longer gram exists
+        row = rows.find(words.finished(sums[last[mine] - w + 1], w))
+        mine, row = mine[row >= 0], row[row >= 0]
+        prob[mine] = np.maximum(count[row] - DISCOUNT, 0) / total[row] + DISCOUNT * types[row] / total[row] * prob[mine]
+    return prob
+
+
+def _discounted(count: Column) -> Column:
+    return F.when(count < 2, count.cast("double")).otherwise(F.lit(DISCOUNT))
+
+
 class Contrast:
-    """Log-likelihood differences of the two classes, as tables of n-grams and contexts."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT, lower: tuple[np.ndarray, ...] | None = None) -> None:
-        """``counts``: for each word its number in the ordinary and in the toxic class. ``lower``: fingerprints of grams of less than
-        ``order`` characters, the number of distinct one-longer grams that end with each, and the sum of these numbers and the number of
-        grams over all that differ in the last character only; of ``words`` by default."""
-        self.order = order
-        lower = lower or _own_lower(Words([f"{_OPEN}{w}{_CLOSE}" for w in words]), order)
-        rows = Table(lower[0])
-        found = []
-        for start in range(0, len(words), SLICE):
-            kept = Words([f"{_OPEN}{w}{_CLOSE}" for w in words[start : start + SLICE]])
-            at, _, context, gram = _grams(kept, order)
-            weight = counts[start : start + SLICE][kept.word[at]].astype(np.float64)
-            found.append(self._merged(gram, context, self._shared(kept, at, order, discount, rows, lower), weight[:, 0], weight[:, 1]))
-            if len(found) == 8:
-                found = [self._merged(*map(np.concatenate, zip(*found, strict=True)))]
-        g, context, base, *seen = self._merged(*map(np.concatenate, zip(*found, strict=True)))
-        c, of = np.unique(context, return_inverse=True)  # context of each gram
+    """Log-likelihood differences of the two classes, as tables of grams, contexts and word pairs."""
+
+    def __init__(self, grams: dict[str, list], pairs: dict[str, list], lower: tuple[np.ndarray, ...]) -> None:
+        """``grams``: columns gram, o, t (its counts in the ordinary and in the toxic class), so, st (its context's) and do, dt (the
+        discounts after its context); all grams with a count of 2 or more. ``pairs``: the same of words (after, word) of documents."""
+        text = Words(grams["gram"])
+        keys, base = text.whole(), shared_probabilities(grams["gram"], lower)
+        short = Words([g[:-1] for g in grams["gram"]])
+        context = short.whole()
         logs, backs = [], []
-        for n in seen:
-            total, kinds = np.bincount(of, n, len(c)), np.bincount(of, (n > 0).astype(float), len(c))
-            full = np.maximum(total, 1e-9)
-            lam = np.where(total > 0, np.minimum(1.0, discount * kinds / full), 1.0)
-            backs.append(np.log(lam))
-            logs.append(np.log(np.where(total[of] > 0, np.maximum(n - discount, 0) / full[of], 0) + lam[of] * base))
-        self.gram, self.gram_llr = Table(g), (logs[1] - logs[0]).astype(np.float32)
-        self.context, self.context_llr = Table(c), (backs[1] - backs[0]).astype(np.float32)
-
-    @staticmethod
-    def _merged(gram: np.ndarray, context: np.ndarray, base: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One row a gram, with the sums of its counts; context and shared probability depend on the gram alone."""
-        g, first, back = np.unique(gram, return_index=True, return_inverse=True)
-        return g, context[first], base[first], np.bincount(back, ordinary, len(g)), np.bincount(back, toxic, len(g))
-
-    @staticmethod
-    def _shared(words: Words, at: np.ndarray, order: int, discount: float, rows: Table, lower: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Shared lower-order probability of the character at each place, from the longest shorter context on: interpolated over
-        orders, with the number of distinct one-longer grams as counts."""
-        _, count, total, types = lower
-        prob = np.full(len(at), 1.0 / 256)
-        for w in range(1, order):  # grams of w characters
-            mine = np.flatnonzero(words.place[at] >= w)  # a longer gram exists
-            row = rows.find(words.fingerprints(w)[at[mine] - w + 1])
-            mine, row = mine[row >= 0], row[row >= 0]
-            prob[mine] = np.maximum(count[row] - discount, 0) / total[row] + discount * types[row] / total[row] * prob[mine]
-        return prob
+        for n, total, left in (("o", "so", "do"), ("t", "st", "dt")):
+            n, total, left = (np.asarray(grams[c], dtype=float) for c in (n, total, left))
+            full = np.maximum(total, 1)
+            weight = np.where(total > 0, left / full, 1.0)
+            seen = np.where(n < 2, 0, n - DISCOUNT)
+            backs.append(np.log(np.maximum(weight, 1e-12)))
+            logs.append(np.log(seen / full + weight * base))
+        self.gram, self.gram_llr = Table(keys), (logs[1] - logs[0]).astype(np.float32)
+        first = np.unique(context, return_index=True)[1]
+        self.context, self.context_llr = Table(context[first]), (backs[1] - backs[0])[first].astype(np.float32)
+        self._pairs(pairs, logs)
+
+    def _pairs(self, pairs: dict[str, list], logs: list[np.ndarray]) -> None:
+        """Evidence of the second word of each pair, and what a first word adds to any other word after it."""
+        after, word = pairs["after"], pairs["word"]
+        self.ids = {w: i for i, w in enumerate(sorted({*after, *word}), 1)}
+        self.number = len(self.ids) + 1
+        kept = _bounded(word)
+        at, _, gram = _grams(kept)
+        row = self.gram.find(gram)  # a pair of several documents has grams of several occurrences
+        each, backs = [], []
+        for k, (n, total, left) in enumerate((("o", "so", "do"), ("t", "st", "dt"))):
+            n, total, left = (np.asarray(pairs[c], dtype=float) for c in (n, total, left))
+            full = np.maximum(total, 1)
+            weight = np.where(total > 0, left / full, 1.0)
+            spelt = np.exp(np.bincount(kept.word[at], np.where(row >= 0, logs[k][row], 0.0), len(word)))
+            each.append(np.log(np.maximum(n - PAIR_DISCOUNT, 0) / full + weight * spelt + 1e-300))
+            backs.append(np.log(np.maximum(weight, 1e-12)))
+        key = np.array([self.ids[v] * self.number + self.ids[w] for v, w in zip(after, word, strict=True)], dtype=np.int64)
+        order = np.argsort(key)
+        self.pair, self.pair_llr = key[order], (each[1] - each[0])[order]
+        self.after = np.full(self.number, np.nan)
+        self.after[[self.ids[v] for v in after]] = backs[1] - backs[0]
 
     def llr(self, words: list[str]) -> np.ndarray:
-        """Difference of each word's log-likelihoods, toxic less ordinary."""
+        """Difference of each word's log-likelihoods, toxic less ordinary, by its characters."""
         if not words:
             return np.zeros(0)
-        kept = Words([f"{_OPEN}{w}{_CLOSE}" for w in words])
-        at, _, context, gram = _grams(kept, self.order)
+        kept = _bounded(words)
+        at, context, gram = _grams(kept)
         row = self.gram.find(gram)
-        value = np.where(row >= 0, self.gram_llr[row], 0.0)
+        value = np.where(row >= 0, self.gram_llr[row] if len(self.gram_llr) else 0.0, 0.0)
         rest = np.flatnonzero(row < 0)
         crow = self.context.find(context[rest])
-        value[rest] = np.where(crow >= 0, self.context_llr[crow], 0.0)
+        value[rest] = np.where(crow >= 0, self.context_llr[crow] if len(self.context_llr) else 0.0, 0.0)
         return np.bincount(kept.word[at], value, len(words))
 
+    def in_sequence(self, ids: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Evidence of words in a row, from their numbers (0: in no pair) and their evidence by characters."""
+        out = alone.copy()
+        back = self.after[ids[:-1]]
+        known = np.flatnonzero(~np.isnan(back))  # never 0, whose entry is not a number
+        if len(known):
+            key = ids[known] * self.number + ids[known + 1]
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            out[known + 1] = np.where(self.pair[at] == key, self.pair_llr[at], alone[known + 1] + back[known])
+        return out
+
 
 class Scorer:
-    """Largest length-normalised evidence of whole texts."""
+    """Evidence of whole texts; remembers words between batches in a table of bounded size."""
 
     def __init__(self, model: Contrast) -> None:
-        self.model, self.known = model, {}
-        self.values = np.zeros((0, 2))
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values, self.ids = np.zeros(0), np.zeros(0, np.int64)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        return np.array([self._long(t) for t in texts]) if any(len(t) > PART for t in texts) else self._evidence([_WORD.findall(t.lower()) for t in texts])
+        if any(len(t) > PART for t in texts):
+            return np.array([self._long(t) for t in texts])
+        return np.array([best.sum() / BEST for best in self._best([_WORD.findall(t.lower()) for t in texts])])
 
     def _long(self, text: str) -> float:
-        """A long text part by part; each begins with the last words of the one before, so that no window is lost."""
-        carried, best = [], None
+        """A long text part by part; each goes on from the last word of the one before."""
+        best, before = np.zeros(0), None
         for part in parts(text):
-            words = carried + _WORD.findall(part.lower())
+            words = _WORD.findall(part.lower())
             if words:
-                found = float(self._evidence([words])[0])
-                best = found if best is None else max(best, found)
-                carried = words[-(max(WINDOWS) - 1) :]
-        return best or 0.0
+                found = self._best([words], before)[0]
+                best, before = np.sort(np.concatenate((best, found)))[-BEST:], words[-1]
+        return float(best.sum() / BEST)
 
-    def _evidence(self, split: list[list[str]]) -> np.ndarray:
+    def _best(self, split: list[list[str]], before: str | None = None) -> list[np.ndarray]:
+        """The largest evidence of each text's words; ``before`` is the word before the first of each."""
+        split = [[before, *words] for words in split] if before is not None else split
         fresh = [*set().union(*split).difference(self.known)] if split else []
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, self.values = {}, np.zeros((0, 2))
+            self._forget()
             fresh = [*set().union(*split)]
         if fresh:
-            new = [np.column_stack((self.model.llr(part), [len(w) + 1 for w in part])) for part in (fresh[a : a + 50_000] for a in range(0, len(fresh), 50_000))]
+            new = [self.model.llr(fresh[a : a + 50_000]) for a in range(0, len(fresh), 50_000)]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.values = np.concatenate([self.values, *new])
-        out = np.zeros(len(split))
-        for k, words in enumerate(split):
-            if words:
-                rows = self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
-                sums = np.concatenate((np.zeros((1, 2)), np.cumsum(rows, axis=0)))
-                out[k] = max(((sums[w:, 0] - sums[:-w, 0]) / (sums[w:, 1] - sums[:-w, 1])).max() for w in (min(w, len(words)) for w in WINDOWS))
+            self.ids = np.concatenate([self.ids, np.fromiter((self.model.ids.get(w, 0) for w in fresh), np.int64, len(fresh))])
+        out = []
+        for words in split:
+            rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            found = self.model.in_sequence(self.ids[rows], self.values[rows]) if len(rows) > 1 else self.values[rows]
+            found = found[1:] if before is not None else found
+            out.append(np.partition(found, -BEST)[-BEST:] if len(found) > BEST else found)
         return out
 
 
@@ -216,17 +269,22 @@ def levels(counts: dict[int, int], most: int) -> int:
     return max(level, most)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST_DOCS) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``fold, toxic, doc_id, text`` of at most about ``most`` documents of each class for the counts, and as many for the curve, spread
-    over the languages."""
+    over the languages; fewer where their texts would have more than ``most_bytes``."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where("fold > 0")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    strata = docs.groupBy("doc_id").agg(F.min(F.pmod(F.xxhash64(lang), F.lit(STRATA))).cast("int").alias("stratum"))
+    strata = docs.groupBy("doc_id").agg(F.min(F.pmod(F.xxhash64(lang), F.lit(STRATA))).cast("int").alias("stratum"), F.sum(F.octet_length("text")).alias("bytes"))
     marks = scratch.table(marks.join(strata, "doc_id").withColumn("curve", F.col("fold") == 4), "marks")
-    number: dict[tuple[bool, int], dict[int, int]] = {}
-    for r in marks.groupBy("curve", "toxic", "stratum").count().collect():  # 4 * STRATA rows at most
-        number.setdefault((r["curve"], r["toxic"]), {})[r["stratum"]] = r["count"]
-    shares = [(c, t, k, min(1.0, levels(counts, most) / n)) for (c, t), counts in number.items() for k, n in counts.items()]
+    sizes: dict[tuple[bool, int], dict[int, tuple[int, int]]] = defaultdict(dict)
+    for r in marks.groupBy("curve", "toxic", "stratum").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect():  # 4 * STRATA rows at most
+        sizes[r["curve"], r["toxic"]][r["stratum"]] = (r["n"], r["bytes"] or 0)
+    shares = []
+    for (in_curve, toxic), counts in sizes.items():
+        level = levels({k: n for k, (n, _) in counts.items()}, most)
+        each = {k: min(1.0, level / n) for k, (n, _) in counts.items()}
+        fits = min(1.0, most_bytes / max(1.0, sum(each[k] * size for k, (_, size) in counts.items())))
+        shares += [(in_curve, toxic, k, share * fits) for k, share in each.items()]
     share = docs.sparkSession.createDataFrame(shares, "curve boolean, toxic int, stratum int, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = marks.join(F.broadcast(share), ["curve", "toxic", "stratum"]).where(draw < F.col("share")).select("doc_id", "toxic", "fold")
@@ -236,37 +294,89 @@ def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = M
     return texts.join(chosen, "doc_id")
 
 
-def _words(column: str) -> Column:
-    return F.explode(F.expr(rf"regexp_extract_all(lower({column}), '\\p{{L}}+', 0)")).alias("word")
+def _found(column: str) -> Column:
+    return F.expr(rf"regexp_extract_all(lower({column}), '\\p{{L}}+', 0)")
 
 
 def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``_continued`` of words, distinct within each batch."""
     for batch in batches:
-        rows = _continued(Words([f"{_OPEN}{w}{_CLOSE}" for w in batch.column(0).to_pylist()]), ORDER).astype(np.int64)
+        rows = _continued(_bounded(batch.column(0).to_pylist())).astype(np.int64)
         yield pa.record_batch([pa.array(rows[:, k]) for k in range(3)], ["longer", "key", "head"])
 
 
 def lower_orders(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key, n, total, types``: ``Contrast``'s ``lower`` of the words of all texts, as a written table."""
-    words = scratch.table(docs.select(_words("text")).distinct(), "words")
+    """``key, n, total, types``: what ``own_lower`` gives, of the words of all texts, as a written table."""
+    words = scratch.table(docs.select(F.explode(_found("text")).alias("word")).distinct(), "words")
     rows = words.mapInArrow(_continuations, "longer long, key long, head long").groupBy("longer").agg(F.first("key").alias("key"), F.first("head").alias("head"))
     counts = scratch.table(rows.groupBy("key").agg(F.count("*").alias("n"), F.first("head").alias("head")), "continuations")
     heads = counts.groupBy("head").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
     return scratch.table(counts.join(heads, "head").select("key", "n", "total", "types"), "lower")
 
 
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``gram, o, t``: every character with its context, of words (word, o, t), added up within each batch."""
+    for batch in batches:
+        o: dict[str, int] = defaultdict(int)
+        t: dict[str, int] = defaultdict(int)
+        for word, ordinary, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = f"{_OPEN}{word}{_CLOSE}"
+            for j in range(2, len(s) + 1):
+                gram = s[max(0, j - ORDER) : j]
+                o[gram] += ordinary
+                t[gram] += toxic
+        yield pa.record_batch([pa.array([*o], pa.string()), pa.array([*o.values()], pa.int64()), pa.array([t[g] for g in o], pa.int64())], ["gram", "o", "t"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of the ends of less than ``SHARED`` characters of grams."""
+    for batch in batches:
+        words = Words(batch.column(0).to_pylist())
+        last, keys = words.start + words.size, []
+        for w, sums in enumerate(words.sums(SHARED - 1), 1):
+            keys.append(words.finished(sums[last[words.size > w] - w], w))
+        yield pa.record_batch([pa.array(np.unique(np.concatenate(keys)).astype(np.int64))], ["key"])
+
+
+def _with_contexts(counted: DataFrame, context: Column, discounted: Column, strong: Column, scratch: Scratch) -> DataFrame:
+    """The ``strong`` rows of ``counted`` (with counts ``o`` and ``t``), with their context's totals ``so, st`` and discounts ``do, dt``.
+    ``discounted`` gives an array of both classes' discounts."""
+    rows = scratch.table(counted.withColumn("_c", context), "counted")
+    totals = rows.withColumn("_d", discounted).groupBy("_c").agg(F.sum("o").alias("so"), F.sum("t").alias("st"), F.sum(F.col("_d")[0]).alias("do"), F.sum(F.col("_d")[1]).alias("dt"))
+    return rows.where(strong).join(totals, "_c").drop("_c")
+
+
+def _counts(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What ``Contrast`` needs of the grams and of the pairs of a labelled sample."""
+    split = scratch.table(sample.where("fold < 4").select("toxic", _found("text").alias("w")), "split")
+    both = (F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
+    counted = scratch.table(split.select("toxic", F.explode("w").alias("word")).groupBy("word").agg(*both), "words")
+    grams = counted.mapInArrow(_spelt, "gram string, o long, t long").groupBy("gram").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    off = F.array(_discounted(F.col("o")), _discounted(F.col("t")))
+    grams = _with_contexts(grams, F.expr("substring(gram, 1, length(gram) - 1)"), off, (F.col("o") >= 2) | (F.col("t") >= 2), scratch)
+    next_to = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("after"), F.get("w", i + 1).alias("word")))
+    pairs = split.where(F.size("w") > 1).select("toxic", F.explode(F.array_distinct(next_to)).alias("p"))
+    pairs = pairs.groupBy("p.after", "p.word").agg(*both)
+    off = F.array(*[F.least(F.col(c), F.lit(PAIR_DISCOUNT)).cast("double") for c in ("o", "t")])
+    return grams, _with_contexts(pairs, F.col("after"), off, (F.col("o") > PAIR_DISCOUNT) | (F.col("t") > PAIR_DISCOUNT), scratch)
+
+
+_NUMBERS = ("o", "t", "so", "st", "do", "dt")
+
+
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fits the models in one task on (word, ordinary, toxic) rows and on the rows of ``lower_orders`` (without a word) that these need,
-    since the sample that they come from is bounded, and yields them pickled in parts; nothing without both classes."""
-    table = pa.Table.from_batches([*batches], pa.schema([("word", pa.string()), ("o", pa.int64()), ("t", pa.int64()), *((c, pa.int64()) for c in ("key", "n", "total", "types"))]))
-    own, lower = table.filter(pc.is_valid(table["word"])), table.filter(pc.is_null(table["word"]))
-    counts = np.column_stack((own["o"].to_numpy(), own["t"].to_numpy()))
-    if len(own) and counts.sum(axis=0).min() > 0:
-        shared = (lower["key"].to_numpy().astype(np.uint64), *(lower[c].to_numpy().astype(float) for c in ("n", "total", "types")))
-        data = pickle.dumps(Contrast(own["word"].to_pylist(), counts, lower=shared), protocol=5)
-        for at in range(0, len(data), 4 << 20):
-            yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
+    """Builds the tables in one task from the rows of ``_counts`` and those of ``lower_orders`` that these need, since the sample that
+    they come from is bounded, and yields them pickled in parts."""
+    read = [b for b in batches if b.num_rows]
+    if not read:
+        return
+    table = pa.Table.from_batches(read)
+    own, pairs, lower = (table.filter(pc.is_valid(table[c])) for c in ("gram", "after", "key"))
+    shared = (lower["key"].to_numpy().astype(np.uint64), *(lower[c].to_numpy().astype(float) for c in ("n", "total", "types")))
+    columns = lambda rows, names: {c: rows[c].to_pylist() for c in (*names, *_NUMBERS)}
+    data = pickle.dumps(Contrast(columns(own, ["gram"]), columns(pairs, ["after", "word"]), shared), protocol=5)
+    for at in range(0, len(data), 4 << 20):
+        yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> tuple[Contrast, float, float] | None:
@@ -276,33 +386,33 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> tuple[Co
 
 
 def _train(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int) -> tuple[Contrast, float, float] | None:
-    rows = labelled(docs, labels, scratch, most).persist()
-    try:
-        counted = rows.where("fold < 4").select("toxic", _words("text")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
-        counted = scratch.table(counted, "counted")
-        if not all(counted.agg(F.sum("o"), F.sum("t")).first()):
-            return None
-        needed = counted.select("word").mapInArrow(_continuations, "longer long, key long, head long").select("key").distinct()
-        lower = lower_orders(docs, scratch).join(needed, "key", "left_semi")
-        packed = counted.unionByName(lower, allowMissingColumns=True).coalesce(1).mapInArrow(_fitted, "part binary").collect()
-        if not packed:
-            return None
-        model = pickle.loads(b"".join(r["part"] for r in packed))
-        held = rows.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(held.value)
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                found = [scorer.evidence(texts[part]) for part in slices(texts, 1_000_000)]
-                yield pa.record_batch([pa.array(np.concatenate(found) if found else np.zeros(0)), batch.column(1)], ["evidence", "toxic"])
-
-        seen = rows.where("fold = 4").select("text", "toxic").mapInArrow(run, "evidence double, toxic int").toPandas()
-        if seen["toxic"].nunique() < 2:
-            return model, 8.0, -4.0
-        return model, *curve(seen["evidence"].to_numpy(), seen["toxic"].to_numpy().astype(float))
-    finally:
-        rows.unpersist()
+    rows = scratch.table(labelled(docs, labels, scratch, most), "sample")
+    words = rows.where("fold < 4").where(F.col("text").rlike(r"\p{L}")).groupBy("toxic").count().count()
+    if words < 2:
+        return None
+    grams, pairs = _counts(rows, scratch)
+    grams = scratch.table(grams, "grams")
+    needed = grams.select("gram").mapInArrow(_suffixes, "key long").distinct()
+    lower = scratch.table(lower_orders(docs, scratch).join(needed, "key", "left_semi"), "needed")
+    pairs = scratch.table(pairs, "pairs")
+    together = grams.unionByName(pairs, allowMissingColumns=True).unionByName(lower, allowMissingColumns=True)
+    packed = together.coalesce(1).mapInArrow(_fitted, "part binary").collect()
+    nothing = ({c: [] for c in ("gram", *_NUMBERS)}, {c: [] for c in ("after", "word", *_NUMBERS)}, (np.zeros(0, np.uint64), *[np.zeros(0)] * 3))
+    model = pickle.loads(b"".join(r["part"] for r in packed)) if packed else Contrast(*nothing)
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            found = [scorer.evidence(texts[part]) for part in slices(texts, 1_000_000)]
+            yield pa.record_batch([pa.array(np.concatenate(found) if found else np.zeros(0)), batch.column(1)], ["evidence", "toxic"])
+
+    seen = rows.where("fold = 4").select("text", "toxic").mapInArrow(run, "evidence double, toxic int").toPandas()  # the bounded sample
+    held.destroy()
+    if seen["toxic"].nunique() < 2:
+        return model, *DEFAULT_CURVE
+    return model, *curve(seen["evidence"].to_numpy(), seen["toxic"].to_numpy().astype(float))
 
 
 def scores(docs: DataFrame, model: tuple[Contrast, float, float] | None, carried: list[str]) -> DataFrame:

@@ -187,20 +187,36 @@ def test_parts_do_not_change_tokens(monkeypatch):
     assert counter.count(texts) == counts and encoder.encode(texts) == ids
 
 
+def toy_contrast(words, counts, pairs=()):
+    """A model of words with their counts by class, and of (after, word, o, t, so, st, do, dt)."""
+    batch = [toxicity.pa.record_batch([toxicity.pa.array(words), *[toxicity.pa.array(c) for c in zip(*counts, strict=True)]], ["word", "o", "t"])]
+    grams = [r for b in toxicity._spelt(iter(batch)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    totals = defaultdict(lambda: [0.0] * 4)
+    for g, o, t in grams:
+        for k, x in enumerate((o, t, *(n if n < 2 else toxicity.DISCOUNT for n in (o, t)))):
+            totals[g[:-1]][k] += x
+    strong = [(g, o, t, *totals[g[:-1]]) for g, o, t in grams if max(o, t) >= 2]
+    columns = lambda rows, names: dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in names}
+    return toxicity.Contrast(columns(strong, ["gram", *toxicity._NUMBERS]), columns(list(pairs), ["after", "word", *toxicity._NUMBERS]), toxicity.own_lower(words))
+
+
 def test_parts_do_not_change_scores(monkeypatch):
     rng = random.Random(15)
-    text = pseudo(rng, 300) + " zorgul " + pseudo(rng, 300)
-    scorer = toxicity.Scorer(toxicity.Contrast(["zorgul", "thing", "thering", "on"], np.array([[0.0, 9.0], [9.0, 2.0], [5.0, 1.0], [9.0, 3.0]])))
+    texts = [pseudo(rng, 300) + " zorgul " + pseudo(rng, 300), "zorgul " + "7" * 1000 + " on on on", "x" * 700 + " zorgul", "zorgul", "get " + "4 " * 300 + "lost on", ""]
+    pair = [("get", "lost", 0, 20, 40, 40, 30, 10), ("get", "on", 20, 0, 40, 40, 30, 10)]
+    scorer = toxicity.Scorer(toy_contrast(["zorgul", "thing", "thering", "on", "get", "lost"], [(0, 9), (9, 2), (5, 1), (9, 3), (9, 8), (9, 8)], pair))
     model = langid.Unigrams(langid.vocabulary(PIECE))
     model.fit(pseudo(rng, 200).split() + ["eau"], np.array([[1.0, 0.2]] * 200 + [[0.0, 5.0]]), rounds=1)
     identifier = langid.Identifier(model, ["a", "b"])
-    whole = scorer.evidence([text]), identifier.predict([text])
+    whole = [(scorer.evidence([t])[0], *map(tuple, identifier.predict([t]))) for t in texts]
+    assert np.allclose(scorer.evidence(texts), [w[0] for w in whole]) and whole[4][0] > whole[5][0] == 0
     for module in (toxicity, langid):
         monkeypatch.setattr(module, "PART", 100)
     monkeypatch.setattr(bpe_count.parts, "__defaults__", (100,))
-    assert np.allclose(scorer.evidence([text]), whole[0])
-    got = identifier.predict([text])
-    assert got[0] == whole[1][0] and np.allclose(got[1], whole[1][1])
+    for t, (evidence, langs, scores) in zip(texts, whole, strict=True):
+        assert np.isclose(scorer.evidence([t])[0], evidence)
+        got = identifier.predict([t])
+        assert tuple(got[0]) == langs and np.allclose(got[1], scores)
 
 
 # ---- chat
@@ -450,13 +466,91 @@ def test_language_of_held_out_documents(spark):
 # ---- toxicity
 
 
-def test_kneser_ney_sums_to_one():
-    words, counts = ["abab", "abba", "cab", "bad"], np.array([[3.0, 0.0], [1.0, 1.0], [2.0, 1.0], [0.0, 4.0]])
-    model = toxicity.Contrast(words, counts, order=3)
-    # an unseen word is scored by backoff weights alone, a toxic one is positive, an ordinary one negative
-    llr = dict(zip(["bad", "abab", "zzz", ""], model.llr(["bad", "abab", "zzz", ""]), strict=True))
-    assert llr["bad"] > 0 > llr["abab"]
-    assert abs(llr["zzz"]) < abs(llr["bad"])
+def brute_kneser_ney(texts, labelled):
+    """p(c, x, h) for class c, a character and all characters before it in its word, and the words' log-likelihood difference."""
+    order, low, d = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+    longer = {w[a : a + k + 1] for t in texts for w in bounded(t) for k in range(1, low) for a in range(len(w) - k)}
+    kinds, total, types = Counter(g[1:] for g in longer), Counter(), Counter()
+    for g, n in kinds.items():
+        total[g[:-1]] += n
+        types[g[:-1]] += 1
+    seen, after = [Counter(), Counter()], [defaultdict(list), defaultdict(list)]
+    for t, c in labelled:
+        for w in bounded(t):
+            seen[c].update(w[max(0, j - order) : j] for j in range(2, len(w) + 1))
+    for c in (0, 1):
+        for g, n in seen[c].items():
+            after[c][g[:-1]].append(n)
+    off = lambda n: n if n < 2 else d
+
+    def shared(x, h):
+        p = 1 / 256
+        for k in range(min(low - 1, len(h))):  # the last k characters are the context
+            c = h[len(h) - k :]
+            if total[c]:
+                p = max(kinds[c + x] - d, 0) / total[c] + d * types[c] / total[c] * p
+        return p
+
+    def p(c, x, h):
+        h = h[-(order - 1) :]
+        counts = after[c][h]
+        if not counts:
+            return shared(x, h)
+        return (seen[c][h + x] - off(seen[c][h + x])) / sum(counts) + sum(map(off, counts)) / sum(counts) * shared(x, h)
+
+    return p
+
+
+def bounded(text):
+    return [f"\x02{w}\x03" for w in toxicity._WORD.findall((text or "").lower())]
+
+
+def test_kneser_ney_equals_brute_force_and_sums_to_one(spark):
+    rng = random.Random(17)
+    syllables = ["ab", "ba", "ca", "dd", "é"]
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 6))) for _ in range(12)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 3 % 2) for i in range(25)], "doc_id long, quality int, toxic int")
+    learnt = [(texts[i], i % 3 % 2) for i in range(25) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    model = toxicity.train(docs, labels)[0]
+    p = brute_kneser_ney(texts, learnt)
+    alphabet = [*"abcdé\x03", *map(chr, range(0x1000, 0x1000 + 250))]
+    for h in ("\x02", "\x02ab", "\x02abba", "\x02ddddab", "\x02zz", "\x02abcabaab"):
+        for c in (0, 1):
+            assert abs(sum(p(c, x, h) for x in alphabet) - 1) < 1e-9, h
+    words = sorted({w for t in texts for w in t.split()})[:60] + ["zzz", "abzz", "é"]
+    want = [sum(np.log(p(1, w[j], w[:j])) - np.log(p(0, w[j], w[:j])) for j in range(1, len(w))) for w in (f"\x02{x}\x03" for x in words)]
+    assert np.allclose(model.llr(words), want, atol=1e-4)
+
+
+def test_expressions_of_two_words(spark):
+    """A pair of ordinary words that only toxic documents have next to each other."""
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(600):
+        words = rng.choices(["get", "lost", "now", "the", "way", "of", "it"], k=30)
+        words = [w for k, w in enumerate(words) if not (w == "lost" and k and words[k - 1] == "get")]
+        if i % 4 == 0:
+            words[10:10] = ["get", "lost"]
+        else:
+            words = [w if (v, w) != ("get", "lost") else "it" for v, w in zip(["", *words], words, strict=False)]
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))[0]
+    scorer = toxicity.Scorer(model)
+    one, two = scorer.evidence(["now get lost now", "now lost get now"])
+    assert one > two + 1
+    # the pair's probability, from the documents that have it
+    learnt = [(t, i) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    after = [Counter(), Counter()]
+    for t, i in learnt:
+        after[i % 4 == 0].update({w for v, w in zip(t.split(), t.split()[1:], strict=False) if v == "get"})
+    p = brute_kneser_ney([t for _, t, *_ in rows], [(t, int(i % 4 == 0)) for t, i in learnt])
+    spelt = [np.prod([p(c, w[j], w[:j]) for w in ["\x02lost\x03"] for j in range(1, len(w))]) for c in (0, 1)]
+    d = toxicity.PAIR_DISCOUNT
+    each = [max(n["lost"] - d, 0) / sum(n.values()) + sum(min(k, d) for k in n.values()) / sum(n.values()) * spelt[c] for c, n in enumerate(after)]
+    ids = np.array([model.ids["get"], model.ids["lost"]])
+    assert np.allclose(model.in_sequence(ids, np.zeros(2))[1], np.log(each[1] / each[0]), atol=1e-4)
 
 
 def toxic_tables(spark, n=900):
@@ -496,7 +590,7 @@ def test_shared_counts_cover_all_texts(spark):
     with Scratch(spark) as scratch:
         got = sorted((r["n"], r["total"], r["types"]) for r in toxicity.lower_orders(docs, scratch).collect())
     words = {f"\x02{w}\x03" for t in texts for w in (t or "").lower().split()}
-    longer = {w[a : a + k + 1] for w in words for k in range(1, toxicity.ORDER) for a in range(len(w) - k)}
+    longer = {w[a : a + k + 1] for w in words for k in range(1, toxicity.SHARED) for a in range(len(w) - k)}
     n = Counter(g[1:] for g in longer)
     total, types = Counter(), Counter()
     for g, k in n.items():
@@ -509,7 +603,7 @@ def test_fit_uses_counts_of_unlabelled_texts(spark):
     docs, labels, n = toxic_tables(spark, 120)
     more = spark.createDataFrame([(10_000 + i, "zorgulon blatzing thering zorg", "en", "s", 1) for i in range(3)], DOCS)
     one, two = toxicity.train(docs, labels)[0], toxicity.train(docs.unionByName(more), labels)[0]
-    assert not np.array_equal(one.gram_llr, two.gram_llr) and np.array_equal(one.context_llr, two.context_llr)
+    assert len(one.gram_llr) == len(two.gram_llr) and not np.array_equal(one.gram_llr, two.gram_llr)
 
 
 def test_labels_are_drawn_from_every_language(spark):
