@@ -66,21 +66,18 @@ m AS (
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CASE WHEN n_symbols > 0.2::DOUBLE * greatest(n_words, 1) THEN 2 WHEN n_symbols > 0.1::DOUBLE * greatest(n_words, 1) THEN 1 ELSE 0 END AS symbols,
-    CASE WHEN n_dup_lines > 0.6::DOUBLE * greatest(n_lines, 1) THEN 2 WHEN n_dup_lines > 0.3::DOUBLE * greatest(n_lines, 1) THEN 1 ELSE 0 END AS dup_lines,
-    CASE WHEN word_chars / greatest(n_words, 1) < 1.25 OR word_chars / greatest(n_words, 1) > 28 THEN 2
-         WHEN word_chars / greatest(n_words, 1) < 2.5 OR word_chars / greatest(n_words, 1) > 14 THEN 1 ELSE 0 END AS word_length,
-    CASE WHEN n_repeat_words > 0.4::DOUBLE * greatest(n_words, 1) THEN 2 WHEN n_repeat_words > 0.2::DOUBLE * greatest(n_words, 1) THEN 1 ELSE 0 END AS repeats
+    n_symbols / greatest(n_words, 1)::DOUBLE / 0.2::DOUBLE AS symbols, n_dup_lines / greatest(n_lines, 1)::DOUBLE / 0.6::DOUBLE AS dup_lines,
+    CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE greatest(5.0::DOUBLE / (word_chars / n_words::DOUBLE), (word_chars / n_words::DOUBLE) / 7.0::DOUBLE) / 4.0::DOUBLE END AS word_length,
+    n_repeat_words / greatest(n_words, 1)::DOUBLE / 0.4::DOUBLE AS repeats
   FROM m),
-u AS (UNPIVOT (SELECT doc_id, source, symbols, dup_lines, word_length, repeats FROM f) ON symbols, dup_lines, word_length, repeats INTO NAME rule VALUE broken),
-h AS (SELECT source, rule, count(*) AS n, sum(CASE WHEN broken > 0 THEN 1 ELSE 0 END)::DOUBLE AS fails FROM u GROUP BY ALL),
-p AS (SELECT rule, sum(fails) / sum(n) AS m, var_pop(fails / n) AS v FROM h GROUP BY rule),
-s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS k FROM p),
-r AS (SELECT source, rule, (fails + m * k) / (n + k) AS rate FROM h JOIN s USING (rule)),
-v AS (SELECT doc_id, bool_or(broken >= 1 AND rate > 0.5) AS host_failed, bool_or(broken >= 2) AS hard
-      FROM u JOIN r ON r.rule = u.rule AND r.source IS NOT DISTINCT FROM u.source GROUP BY doc_id)
-SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, v.host_failed,
-       NOT (f.base_failed OR v.host_failed OR v.hard) AS kept
+u AS (UNPIVOT (SELECT doc_id, source, symbols, dup_lines, word_length, repeats FROM f) ON symbols, dup_lines, word_length, repeats INTO NAME rule VALUE measure),
+h AS (SELECT source, rule, count(*)::DOUBLE AS n, sum(CASE WHEN measure > 0.5 THEN 1 ELSE 0 END)::DOUBLE AS fails FROM u GROUP BY ALL),
+p AS (SELECT rule, count(*) AS hosts, sum(n) AS total, sum(n * n) AS squares, sum(fails) / sum(n) AS m, sum(fails * fails / n) AS spread FROM h GROUP BY rule),
+q AS (SELECT rule, m, CASE WHEN total - squares / total > 0 THEN (spread - total * m * m - (hosts - 1) * m * (1 - m)) / (total - squares / total) ELSE 0 END AS v FROM p),
+s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1000000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000000.0 END::DOUBLE AS k FROM q),
+r AS (SELECT source, rule, CASE WHEN fails + m * k > 0 THEN least(2.0, greatest(0.5, m / ((fails + m * k) / (n + k)))) ELSE 1.0 END::DOUBLE AS allowed FROM h JOIN s USING (rule)),
+v AS (SELECT doc_id, bool_or(measure > allowed) AS host_failed FROM u JOIN r ON r.rule = u.rule AND r.source IS NOT DISTINCT FROM u.source GROUP BY doc_id)
+SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, v.host_failed, NOT (f.base_failed OR v.host_failed) AS kept
 FROM f JOIN v USING (doc_id)
 """
 

@@ -1,13 +1,15 @@
 """Host-level quality rules, with DataFrame expressions only.
 
-Each document is measured once. Per host and rule, failures are counted (partially aggregated, so a hot host is no hot task), and the
-host's failure rate is shrunk towards the corpus rate with a beta prior whose strength comes from the spread of the hosts' own rates
-(method of moments). Verdicts then go back to the documents by host:
+Each document is measured once and held against four rules. Per host and rule, failures (a measure beyond the rule's strict limit) are
+counted, partially aggregated, so a hot host is no hot task. A host's failure rate is shrunk towards the corpus rate with a beta prior
+whose strength comes from the spread of the hosts' rates. The host's verdict on a rule is its tolerance, the corpus rate over its
+shrunk rate, between 1 / ``RANGE`` and ``RANGE``: how far its documents may go beyond the rule's limit. Verdicts then go back to the
+documents by host, and a document is kept if all its measures are within its host's limits:
 
-* a document that breaks a rule far beyond its limit (``HARD`` times) is rejected wherever it is from;
-* a document that breaks a rule beyond its limit is rejected if its host's shrunk failure rate for that rule says that such failures
-  are usual there (over ``HOST_RATE``); a lone failure on an otherwise sound host is forgiven;
-* a document that breaks no rule is kept, whatever its host.
+* on a host that fails like the corpus, the limit is the rule's own;
+* on a host that fails more often, failures are no accident, and the limit is stricter, down to the strict limit;
+* on a host that fails less often, the limit is laxer, up to ``RANGE`` times the rule's own;
+* a document within the strict limits of all rules is kept, whatever its host.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows are judged row by
 row; texts are taken whole; extra columns stay, except that the measures replace columns of their own names and names that begin with
@@ -23,11 +25,15 @@ from corpusloom.plans.scratch import Scratch
 
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
-#: Limits of the rules: symbols a word, share of duplicate lines, mean word length (least, most), share of repeated words.
-SYMBOLS_PER_WORD, DUP_LINES, WORD_CHARS, REPEATED = 0.1, 0.3, (2.5, 14.0), 0.2
-#: Times a limit at which a failure counts anywhere, and the shrunk host rate at which a plain failure counts.
-HARD, HOST_RATE = 2.0, 0.5
-RULES = ["symbols", "dup_lines", "word_length", "repeats"]
+#: Limits of the rules: symbols a word, share of duplicate lines, letters a word beyond or below the usual (as a factor), share of
+#: repeated words. The strict limits, beyond which a document counts as a failure of its host, are these over ``RANGE``.
+LIMITS = {"symbols": 0.2, "dup_lines": 0.6, "word_length": 4.0, "repeats": 0.4}
+#: Word lengths that are usual: the rule measures how many times shorter or longer the mean is.
+USUAL_LENGTH = (5.0, 7.0)
+RANGE = 2.0
+RULES = [*LIMITS]
+#: Bounds of the prior's strength, as a number of documents.
+LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e6
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -71,40 +77,54 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def failures(measured: DataFrame) -> DataFrame:
-    """``base_failed``, and for each rule how far it is broken: 0 no, 1 beyond its limit, 2 beyond ``HARD`` times the limit."""
+    """``base_failed``, and for each rule how far the document goes: its measure over the rule's limit (1: at the limit)."""
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    level = lambda soft, hard: F.when(hard, 2).when(soft, 1).otherwise(0)
-    over = lambda part, whole, limit: level(part > limit * whole, part > HARD * limit * whole)
+    least, most = USUAL_LENGTH
     mean = F.col("word_chars") / words
-    least, most = WORD_CHARS
+    odd = F.when(F.col("n_words") == 0, 0.0).otherwise(F.greatest(F.lit(least) / mean, mean / F.lit(most)))
     return measured.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "symbols": over(F.col("n_symbols"), words, SYMBOLS_PER_WORD),
-            "dup_lines": over(F.col("n_dup_lines"), lines, DUP_LINES),
-            "word_length": level((mean < least) | (mean > most), (mean < least / HARD) | (mean > most * HARD)),
-            "repeats": over(F.col("n_repeat_words"), words, REPEATED),
+            "symbols": F.col("n_symbols") / words / F.lit(LIMITS["symbols"]),
+            "dup_lines": F.col("n_dup_lines") / lines / F.lit(LIMITS["dup_lines"]),
+            "word_length": odd / F.lit(LIMITS["word_length"]),
+            "repeats": F.col("n_repeat_words") / words / F.lit(LIMITS["repeats"]),
         }
     )
 
 
-def host_rates(failed: DataFrame, host_col: str = "source") -> DataFrame:
-    """One row a host with the shrunk failure rate of every rule.
+def host_verdicts(failed: DataFrame, host_col: str = "source") -> DataFrame:
+    """One row a host with its tolerance of every rule, ``allowed_<rule>``.
 
-    For each rule, hosts' rates have mean m and variance v; the prior's strength is m(1-m)/v - 1, held between 1 and 1000 (1000 where
-    hosts do not differ), and a host with f failures in n documents gets (f + m s) / (n + s).
+    With f of n documents of a host failing and m the corpus rate, the hosts' rates differ by the variance
+
+        v = (sum of n (f/n - m)^2 - (hosts - 1) m (1 - m)) / (N - sum of n^2 / N)
+
+    beyond what binomial sampling alone gives (method of moments, every host weighted by its documents). The prior's strength is
+    s = m (1 - m) / v - 1 within its bounds (the largest one where v is not positive), the host's rate (f + m s) / (n + s), and its
+    tolerance m over that rate within ``RANGE``.
     """
-    hosts = failed.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), *[F.sum(F.when(F.col(r) > 0, 1).otherwise(0)).alias(r) for r in RULES])
-    moments = []
+    hosts = failed.groupBy(F.col(host_col).alias("host")).agg(F.count("*").cast("double").alias("n"), *[F.sum(F.when(F.col(r) > 1 / RANGE, 1.0).otherwise(0.0)).alias(r) for r in RULES])
+    sums = [F.count("*").alias("hosts"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("nn")]
     for r in RULES:
-        moments += [F.coalesce(F.sum(r) / F.sum("n"), F.lit(0.0)).alias(f"m_{r}"), F.coalesce(F.var_pop(F.col(r) / F.col("n")), F.lit(0.0)).alias(f"v_{r}")]
-    prior = hosts.agg(*moments).first()  # one row
-    out = hosts.select("host", "n", *RULES)
+        sums += [F.sum(r).alias(f"f_{r}"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"s_{r}")]
+    total = hosts.agg(*sums).first()  # one row
+    out = hosts
     for r in RULES:
-        m, v = prior[f"m_{r}"], prior[f"v_{r}"]
-        strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
-        out = out.withColumn(f"rate_{r}", (F.col(r) + F.lit(m * strength)) / (F.col("n") + F.lit(strength)))
-    return out.select("host", *[f"rate_{r}" for r in RULES])
+        m, s = prior(total["hosts"], total["n"], total["nn"], total[f"f_{r}"] or 0.0, total[f"s_{r}"] or 0.0)
+        rate = (F.col(r) + m * s) / (F.col("n") + s)
+        out = out.withColumn(f"allowed_{r}", F.when(rate > 0, F.least(F.lit(RANGE), F.greatest(F.lit(1 / RANGE), F.lit(m) / rate))).otherwise(1.0))
+    return out.select("host", *[f"allowed_{r}" for r in RULES])
+
+
+def prior(hosts: int, n: float, squares: float, fails: float, spread: float) -> tuple[float, float]:
+    """Corpus rate and prior strength from the number of hosts, and the sums of n, n^2, f and f^2 / n over them."""
+    if n <= 0:
+        return 0.0, MOST_STRENGTH
+    m = fails / n
+    noise, apart = m * (1 - m), n - squares / n
+    v = (spread - n * m * m - (hosts - 1) * noise) / apart if apart > 0 else 0.0
+    return m, min(MOST_STRENGTH, max(LEAST_STRENGTH, noise / v - 1)) if v > 0 else MOST_STRENGTH
 
 
 def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -114,14 +134,12 @@ def judge(docs: DataFrame, scratch: Scratch, host_col: str = "source", text_col:
 
 
 def verdicts(failed: DataFrame, scratch: Scratch, host_col: str = "source") -> DataFrame:
-    """The rows of ``failures`` (a written table, since it is read twice) with their host's verdict and ``kept``."""
-    rates = scratch.table(host_rates(failed, host_col), "hosts")
-    rates = rates.withColumnRenamed("host", "_host")
-    joined = failed.join(rates, failed[host_col].eqNullSafe(rates["_host"]), "left")
-    hard = F.lit(False)
-    usual = F.lit(False)
+    """The rows of ``failures`` (a written table, since it is read twice) with ``host_failed`` (a measure is beyond what the host's
+    verdict allows) and ``kept``."""
+    hosts = scratch.table(host_verdicts(failed, host_col), "hosts").withColumnRenamed("host", "_host")
+    joined = failed.join(hosts, failed[host_col].eqNullSafe(hosts["_host"]), "left")
+    beyond = F.lit(False)
     for r in RULES:
-        hard = hard | (F.col(r) >= 2)
-        usual = usual | ((F.col(r) >= 1) & (F.col(f"rate_{r}") > HOST_RATE))
-    judged = joined.withColumns({"host_failed": usual, "kept": ~(F.col("base_failed") | hard | usual)})
-    return judged.drop("_host", *[f"rate_{r}" for r in RULES])
+        beyond = beyond | (F.col(r) > F.col(f"allowed_{r}"))
+    judged = joined.withColumns({"host_failed": beyond, "kept": ~(F.col("base_failed") | beyond)})
+    return judged.drop("_host", *[f"allowed_{r}" for r in RULES])

@@ -406,21 +406,55 @@ def test_quality_measures_equal_brute_force(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_measures(texts[r["doc_id"]]), texts[r["doc_id"]][:50]
 
 
-def test_quality_verdicts_by_host(spark):
-    rng = random.Random(9)
-    good = [pseudo(rng, 80) for _ in range(40)]
-    # one line in three repeated: over the limit, but not twice over it
-    soft = ["\n".join([f"{pseudo(rng, 20)} a{i}", f"{pseudo(rng, 20)} b{i}", *["same line again"] * 3, f"{pseudo(rng, 30)} c{i}"]) for i in range(20)]
-    hard = [" ".join(w + "$$" for w in t.split()) for t in good[:5]]
-    rows = [("sound", t) for t in good[:20]] + [("sound", soft[0])] + [("junk", t) for t in soft[1:]] + [("junk", good[21]), ("sound", hard[0]), (None, hard[1]), (None, good[22]), ("sound", None), ("sound", "short")]
+def judged_by_hosts(spark, rows):
     docs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string")
     with Scratch(spark) as scratch:
         got = {r["doc_id"]: r for r in quality.judge(docs, scratch).collect()}
-        assert quality.judge(empty_docs(spark), scratch).count() == 0
+        hosts = {r["host"]: r for r in quality.host_verdicts(quality.failures(quality.measures(docs))).collect()}
     assert len(got) == len(rows)
-    assert all(got[i]["kept"] for i in range(20)) and got[20]["kept"]  # a lone soft failure on a sound host is forgiven
-    assert not any(got[i]["kept"] for i in range(21, 40)) and got[40]["kept"]  # a clean text on a bad host stays
-    assert [got[i]["kept"] for i in range(41, 46)] == [False, False, True, False, False]
+    return got, hosts
+
+
+def test_quality_verdicts_by_host(spark):
+    rng = random.Random(9)
+
+    def repeated(lines):
+        """A text of 10 lines of which so many repeat the first."""
+        own = [f"{pseudo(rng, 12)} {rng.random()}" for _ in range(10 - lines)]
+        return "\n".join([*own, *[own[0]] * lines])
+
+    good = [pseudo(rng, 80) for _ in range(400)]
+    strict, usual = repeated(4), repeated(7)
+    lax = " ".join(w if i % 4 else w + "$" for i, w in enumerate(good[0].split()))  # a quarter of a symbol a word, limit 0.2
+    rows = [("sound", t) for t in good[:300]] + [("junk", repeated(4)) for _ in range(60)] + [("junk", t) for t in good[300:310]]
+    rows += [("mixed", t if i % 8 else t.replace(" ", "$ ")) for i, t in enumerate(good[310:390])]
+    at = len(rows)
+    rows += [("sound", strict), ("junk", strict), ("sound", usual), ("junk", usual), ("sound", lax), ("mixed", lax), (None, lax), (None, good[0]), ("sound", None), ("sound", "short")]
+    got, hosts = judged_by_hosts(spark, rows)
+    assert hosts["junk"]["allowed_dup_lines"] < 0.6 and hosts["sound"]["allowed_dup_lines"] == quality.RANGE
+    assert hosts["mixed"]["allowed_symbols"] < 0.8 < hosts["sound"]["allowed_symbols"]
+    assert all(got[i]["kept"] for i in range(300)) and all(got[i]["kept"] for i in range(360, 370))  # a clean text on a bad host stays
+    assert not any(got[i]["kept"] for i in range(300, 360))  # what is usual there is no accident
+    kept = [got[i]["kept"] for i in range(at, len(rows))]
+    # a few repeated lines, or more symbols than the rule has it, are forgiven where they are rare
+    assert kept[:2] == [True, False] and kept[3] is False and kept[4:6] == [True, False] and kept[7:] == [True, False, False]
+    # without the hosts the same texts are judged alike
+    alone, _ = judged_by_hosts(spark, [("one", t) for _, t in rows])
+    assert {i for i in got if got[i]["kept"] != alone[i]["kept"]} and alone[at]["kept"] == alone[at + 1]["kept"] and alone[at + 4]["kept"] == alone[at + 5]["kept"]
+    with Scratch(spark) as scratch:
+        assert quality.judge(empty_docs(spark), scratch).count() == 0
+
+
+def test_prior_strength_by_moments():
+    rng = np.random.default_rng(3)
+    for strength in (5.0, 60.0):
+        n = rng.integers(20, 4000, 3000).astype(float)
+        fails = rng.binomial(n.astype(int), rng.beta(0.1 * strength, 0.9 * strength, len(n))).astype(float)
+        m, s = quality.prior(len(n), n.sum(), (n * n).sum(), fails.sum(), (fails**2 / n).sum())
+        assert abs(m - 0.1) < 0.02 and 0.75 * strength < s + 1 < 1.3 * (strength + 1)
+    fails = rng.binomial(50, 0.1, 200).astype(float)  # hosts that do not differ
+    assert quality.prior(200, 10_000.0, 200 * 2500.0, fails.sum(), (fails**2 / 50).sum())[1] > 100
+    assert quality.prior(0, 0.0, 0.0, 0.0, 0.0) == (0.0, quality.MOST_STRENGTH)
 
 
 # ---- language
