@@ -3,14 +3,17 @@
 A document's ids and its end id are cut from the end into pieces of the sequence length, so only its first piece may be shorter. The
 plan is best-fit decreasing over at most ``size`` lengths with their counts, never over documents: open sequences of equal free space
 are one class, and a step puts a length into as many sequences of the tightest class as both have. Every step is a run of ranks of one
-length that goes to consecutive sequences at one offset. Pieces then take their slots by their rank within their length.
+length that goes to consecutive sequences at one offset. The plan's steps are a table, and pieces take their slots by joining it on
+their length and rank: both sides meet on blocks of ranks, of which a long step has several, so no length is a hot key.
 
 Ranks come from two steps, so that a length which a third of all pieces share is not one task: pieces are numbered within (length,
-bucket), a bucket being a hash of the piece, and buckets are numbered from their counts.
+bucket), and buckets are numbered from their counts. A piece's bucket comes from a number that is written with it and that repeated
+rows do not share; the number of buckets grows with the pieces.
 
 Ids are those of the ``tokenizers`` library for the vocabulary file. Where that file's ids are its merge ranks, texts of Latin
 characters (below U+0250) without special strings are encoded over the same ranks by ``tiktoken``, which gives the same ids at several
-times the speed; all other texts go through the library itself.
+times the speed; all other texts, and those whose runs of blanks are too long for its regular expression, go through the library
+itself.
 
 Defined cases: a null text is an empty one, whose only token is the end id; repeated rows and null ids are packed row by row; texts of
 any length are taken whole; extra columns are ignored; an empty table gives an empty result.
@@ -18,7 +21,6 @@ any length are taken whole; extra columns are ignored; an empty table gives an e
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import zlib
@@ -26,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe_count import PART, byte_symbols, parts, slices
 from corpusloom.plans.scratch import Scratch
 
-BUCKETS = 1024
+#: Pieces a bucket of ranks has over all lengths, and the most buckets.
+BUCKET, MOST_BUCKETS = 512, 1 << 16
+#: Ranks that meet on one key of the join to the plan.
+RANKS = 1 << 14
 # Texts with other characters than these always go to the library itself.
 _RARE = re.compile(r"[^\x00-\x1b\x20-\u024f]")
 # Fixed value: the byte-level pre-tokenizer's pattern.
@@ -68,16 +73,25 @@ class Encoder:
         return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.fast is not None and not (_RARE.search(t) or any(s in t for s in self.special)) for t in texts]
-        other = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if p else np.array(next(other).ids, dtype="<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
+        done = [self._quick(t) for t in texts]
+        other = iter(self.library.encode_batch_fast([t for t, ids in zip(texts, done, strict=True) if ids is None], add_special_tokens=False))
+        return [np.array(next(other).ids, dtype="<u4").tobytes() if ids is None else ids for ids in done]
+
+    def _quick(self, text: str) -> bytes | None:
+        """Ids by ranks; None for the library's texts."""
+        if self.fast is None or _RARE.search(text) or any(s in text for s in self.special):
+            return None
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        except ValueError:  # a run of about a million blanks exhausts the regular expression's stack
+            return None
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every piece."""
+    """``doc_id, piece, start, length, ids_crc32`` of every piece, and ``spread``, a number of 31 bits that repeated rows do not share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end, made = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes(), 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
@@ -88,14 +102,16 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2,
                     at, k = 0, 0
                     while at < n:
                         length = (n - at) % size or size
-                        rows.append((key, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
+                        crc = zlib.crc32(ids[4 * at : 4 * (at + length)])
+                        rows.append((key, k, at, length, crc, (crc + (made + len(rows)) * 0x9E3779B1) % (1 << 32) >> 1))
                         at, k = at + length, k + 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
+            made += len(rows)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "spread"]
+            types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, spread bigint")
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -103,15 +119,11 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
     length fits. A class of open sequences is a list of (first, number) runs by free space."""
     steps: list[tuple[int, int, int, int, int]] = []
     free: dict[int, list[tuple[int, int]]] = {}
-    heap: list[int] = []  # free spaces with runs, none twice
     made = 0
 
     def put(space: int, first: int, number: int) -> None:
         if space and number:
-            if space not in free:
-                free[space] = []
-                heapq.heappush(heap, space)
-            free[space].append((first, number))
+            free.setdefault(space, []).append((first, number))
 
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
@@ -150,39 +162,28 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
     return steps
 
 
+def slots(steps: list[tuple[int, int, int, int, int]], spark: SparkSession, scratch: Scratch) -> DataFrame:
+    """The plan's steps as a table, a row for every block of ``RANKS`` ranks that a step touches."""
+    rows = spark.createDataFrame(steps, "length long, first_rank long, number long, first_sequence long, offset long")
+    last = F.col("first_rank") + F.col("number") - 1
+    return scratch.table(rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("first_rank") / RANKS), F.floor(last / RANKS)))), "slots")
+
+
 def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """Every piece with its ``sequence_id`` and its ``offset`` there."""
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         rows = scratch.table(pieces(docs, vocabulary, size, end_id), "pieces")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(BUCKETS)))
-        counts = scratch.table(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")  # at most size * BUCKETS rows
+        buckets = min(MOST_BUCKETS, max(1, rows.count() // BUCKET))
+        rows = rows.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
+        counts = scratch.table(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")  # at most size * MOST_BUCKETS rows
         before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
         starts = counts.select("length", "bucket", before.alias("before"))
         histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
-        steps = np.array(sorted(plan(histogram, size)), dtype=np.int64).reshape(-1, 5)
-        held = spark.sparkContext.broadcast(steps)  # its size depends on the lengths, not on the documents
-        local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-        ranked = rows.withColumn("local", local).join(starts, ["length", "bucket"])
-        ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local") - 1).alias("rank"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = held.value
-            limits = {int(length): (a, b) for length, a, b in zip(*_limits(table), strict=True)}
-            for batch in batches:
-                length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-                at = np.empty(len(length), dtype=np.int64)
-                for value in np.unique(length).tolist():
-                    a, b = limits[value]
-                    mine = length == value
-                    at[mine] = a + np.searchsorted(table[a:b, 1], rank[mine], side="right") - 1
-                sequence, offset = table[at, 3] + rank - table[at, 1], table[at, 4]
-                yield pa.record_batch([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-        out = ranked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
-        return scratch.keep(out, "packed")
-
-
-def _limits(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths, first = np.unique(table[:, 0], return_index=True)
-    return lengths, first, np.append(first[1:], len(table))
+        places = slots(plan(histogram, size), spark, scratch)  # its steps depend on the lengths, not on the documents
+        local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("spread", "doc_id", "piece"))
+        ranked = rows.withColumn("local", local).join(starts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("local") - 1)
+        ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", F.floor(F.col("rank") / RANKS).alias("block"))
+        taken = ranked.join(places, ["length", "block"]).where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number")))
+        sequence = (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id")
+        return scratch.keep(taken.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, "offset"), "packed")

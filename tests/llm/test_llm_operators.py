@@ -710,6 +710,25 @@ def test_packed_pieces(spark):
     assert packing.pack(empty_docs(spark), BYTE).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \t\r\n"])
+def test_long_blanks_are_encoded_like_the_library(run):
+    encoder = packing.Encoder(BYTE)
+    for n in (1000, 1_000_000, 2_000_000):
+        text = "a b" + run * (n // len(run)) + "c d"
+        assert encoder.encode([text]) == [np.array(encoder.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
+def test_repeated_rows_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKS", 16)
+    docs = spark.createDataFrame([(None, "the same")] * 5000 + [(1, "x y z " * 3000)] * 3, "doc_id long, text string")
+    rows = packing.pieces(docs, BYTE)
+    by = Counter(r["spread"] % 64 for r in rows.where("doc_id is null").collect())
+    assert len(by) == 64 and max(by.values()) < 4 * 5000 / 64
+    got = packing.pack(docs, BYTE).collect()
+    at = {(r["sequence_id"], r["offset"]) for r in got}
+    assert len(at) == len(got) == rows.count()
+
+
 # ---- all of them
 
 
