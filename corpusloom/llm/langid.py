@@ -4,13 +4,16 @@ The vocabulary is a fixed public one (a SentencePiece model's pieces); only the
 The probability of a word is the sum over all ways to cut it into pieces, found by a forward pass that runs over all distinct words of
 a batch at once; since no piece crosses a word's start, the log-probability of a text is the sum over its words. Probabilities come
 from expectation maximisation over all segmentations of the training words, and each language's are interpolated with the pooled ones.
+Each round adds up the expected counts of all words' partitions; only the sums, one per piece and language, reach the driver.
 
-Words are runs of letters, lower-cased; the piece that starts a word carries the vocabulary's word mark. Runs of more than
-``LONGEST`` letters are scored in parts of that length. The score is the posterior probability of the predicted language under equal
-priors, with the log-likelihood taken per word and weighted by the square root of the number of words.
+Words are runs of letters, lower-cased, of any length; the piece that starts a word carries the vocabulary's word mark. Words of more
+than ``LONGEST`` letters take the same pass in logarithms, since their probabilities are too small for floating point. The score is the
+posterior probability of the predicted language under equal priors, with the log-likelihood taken per word and weighted by the square
+root of the number of words.
 
-The models are fitted on at most about ``MOST_DOCS`` documents of each language (chosen by a hash of the id), which bounds what the
-driver gathers and broadcasts; every text is scored whole.
+The models are fitted on at most about ``MOST_DOCS`` documents and ``MOST_BYTES`` of text of each language (chosen by a hash of the
+id); every text is scored whole. A model has a number per piece and language, which is broadcast; more than ``MOST_LANGS`` languages
+are an error.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null id is in no fold, neither learnt from nor held out;
 repeated rows are scored row by row; a null language is not learnt; without any language to learn everything is ``und``; ties go to
@@ -19,7 +22,6 @@ the first language in order; extra columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.bpe_count import PART, parts, slices
 from corpusloom.llm.ragged import Table, Words
 from corpusloom.llm.toxicity import fold
+from corpusloom.plans.scratch import Scratch
 
-MOST_DOCS = 800
+MOST_DOCS, MOST_BYTES = 800, 8 << 20
+#: Letters up to which a word's probabilities are multiplied as they are.
 LONGEST = 48
-#: Languages up to which their document counts are broadcast.
-MOST_LANGS = 10_000
+#: Numbers that a pass holds at once.
+CELLS = 4_000_000
+MOST_LANGS = 1000
 ROUNDS = 3
 REMEMBERED = 400_000
 #: Weight of the pooled probabilities, and the probability of a letter that no piece covers.
@@ -64,12 +69,14 @@ class Lattice:
         n = len(self.words.chars)
         left = self.words.size[self.words.word] - self.words.place
         self.ids: dict[int, np.ndarray] = {}
-        for length in lengths:
-            ids = np.full(n, -1, dtype=np.int64)
+        for length, sums in enumerate(self.words.sums(lengths[-1]), 1):
             fits = np.flatnonzero(left >= length)
             if not len(fits):
+                break
+            if length not in lengths:
                 continue
-            ids[fits] = table.find(self.words.fingerprints(length)[fits])
+            ids = np.full(n, -1, dtype=np.int64)
+            ids[fits] = table.find(self.words.finished(sums[fits], length))
             if length == 1:
                 ids[ids < 0] = -2  # an uncovered letter
             if (ids != -1).any():
@@ -111,55 +118,136 @@ class Lattice:
         return out
 
 
+class Runs:
+    """The same for words of any length, longest first, in logarithms."""
+
+    def __init__(self, words: list[str], table: Table, lengths: list[int]) -> None:
+        self.lattice = Lattice(words, table, lengths)
+        self.size, self.start = self.lattice.words.size, self.lattice.words.start
+        self.lengths = np.array(sorted(self.lattice.ids))
+        self.ids = np.column_stack([self.lattice.ids[k] for k in self.lengths.tolist()])
+
+    @staticmethod
+    def _sum(x: np.ndarray) -> np.ndarray:
+        most = x.max(axis=1)
+        return most + np.log(np.exp(x - most[:, None]).sum(axis=1))
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """log alpha[word, characters so far, language]."""
+        reach = self.lattice.reach
+        alpha = np.full((len(self.size), len(reach), logp.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        for e in range(1, len(reach)):
+            k, back = reach[e], e - self.lengths[: np.searchsorted(self.lengths, e, side="right")]
+            pieces = self.ids[self.start[:k, None] + back, np.arange(len(back))]
+            alpha[:k, e] = self._sum(alpha[:k, back] + logp[pieces])
+        return alpha
+
+    def backward(self, logp: np.ndarray) -> np.ndarray:
+        reach = self.lattice.reach
+        beta = np.full((len(self.size), len(reach), logp.shape[1]), -np.inf)
+        beta[np.arange(len(self.size)), self.size] = 0
+        for e in range(len(reach) - 2, -1, -1):
+            k, on = reach[e + 1], e + self.lengths[self.lengths < len(reach) - e]
+            beta[:k, e] = self._sum(beta[:k, on] + logp[self.ids[self.start[:k] + e, : len(on)]])
+        return beta
+
+    def total(self, logp: np.ndarray) -> np.ndarray:
+        """Log-probability of each word (in the caller's order) by language."""
+        out = np.zeros((len(self.size), logp.shape[1]))
+        each = max(1, CELLS // (len(self.size) * len(self.lattice.reach)))
+        for a in range(0, logp.shape[1], each):
+            out[self.lattice.order, a : a + each] = self.forward(logp[:, a : a + each])[np.arange(len(self.size)), self.size]
+        return out
+
+    def expected(self, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out, words = np.zeros(logp.shape), self.lattice.words
+        weight = counts[self.lattice.order]
+        each = max(1, CELLS // (len(self.size) * len(self.lattice.reach)))
+        for a in range(0, logp.shape[1], each):
+            part = logp[:, a : a + each]
+            alpha, beta = self.forward(part), self.backward(part)
+            total = alpha[np.arange(len(self.size)), self.size]
+            for j, length in enumerate(self.lengths.tolist()):
+                at = np.flatnonzero(self.ids[:, j] >= 0)
+                piece, word, place = self.ids[at, j], words.word[at], words.place[at]
+                use = np.exp(alpha[word, place] + part[piece] + beta[word, place + length] - total[word]) * weight[word, a : a + each]
+                for k in range(use.shape[1]):
+                    out[:, a + k] += np.bincount(piece, use[:, k], len(out))
+        return out
+
+
+def _groups(words: list[str], langs: int) -> Iterator[list[int]]:
+    """Numbers of words that take a pass together: of similar length, and not too many."""
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    at = 0
+    while at < len(order):
+        n = max(1, CELLS // ((len(words[order[at]]) + 2) * langs))
+        yield order[at : at + n]
+        at += n
+
+
 class Unigrams:
     """Piece probabilities of every language over one vocabulary."""
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces = pieces
         kept = Words(pieces)
-        keys = np.zeros(len(pieces), np.uint64)
         self.lengths = sorted(set(kept.size.tolist()))
-        for length in self.lengths:
-            mine = np.flatnonzero(kept.size == length)
-            keys[mine] = kept.fingerprints(length)[kept.start[mine]]
-        self.table = Table(keys)
+        self.table = Table(kept.whole())
         self.scale = _SCALE ** np.concatenate((kept.size, [1, 1])).astype(float)
 
+    def start(self, langs: int) -> None:
+        """Equal probabilities."""
+        self._set(np.full((len(self.pieces) + 2, langs), 1 / len(self.pieces)))
+
+    def uses(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece by language, given how often each word occurs by language."""
+        out = np.zeros(self.p.shape)
+        for rows in _groups(words, counts.shape[1]):
+            some, n = [words[i] for i in rows], counts[rows]
+            if len(some[0]) > LONGEST:
+                out += Runs(some, self.table, self.lengths).expected(self.logp, n)
+            else:
+                out += Lattice(some, self.table, self.lengths).expected(self.p, n)
+        return out[: len(self.pieces)]
+
+    def update(self, uses: np.ndarray) -> None:
+        """Probabilities from expected uses."""
+        own = uses / np.maximum(uses.sum(axis=0), 1e-9)
+        pooled = uses.sum(axis=1, keepdims=True) + 0.01
+        self._set(np.concatenate(((1 - POOLED) * own + POOLED * pooled / pooled.sum(), np.zeros((2, uses.shape[1])))))
+
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> None:
         """``counts``: occurrences of each word by language."""
-        n, langs = len(self.pieces), counts.shape[1]
-        p = np.full((n + 2, langs), 1 / n)
+        self.start(counts.shape[1])
         for _ in range(rounds):
-            self._set(p)
-            uses = np.zeros((n + 2, langs))
-            for a in range(0, len(words), 20_000):
-                uses += Lattice(words[a : a + 20_000], self.table, self.lengths).expected(self.p, counts[a : a + 20_000])
-            own = uses[:n] / np.maximum(uses[:n].sum(axis=0), 1e-9)
-            pooled = uses[:n].sum(axis=1, keepdims=True) + 0.01
-            p = np.concatenate(((1 - POOLED) * own + POOLED * pooled / pooled.sum(), np.zeros((2, langs))))
-        self._set(p)
+            self.update(self.uses(words, counts))
 
     def _set(self, p: np.ndarray) -> None:
         p[-2], p[-1] = UNKNOWN, 0
         self.p = p * self.scale[:, None]
+        with np.errstate(divide="ignore"):
+            self.logp = np.log(p)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word by language."""
         out = np.zeros((len(words), self.p.shape[1]))
-        if words:
-            lattice = Lattice(words, self.table, self.lengths)
-            alpha = lattice.forward(self.p)
-            size = lattice.words.size
-            out[lattice.order] = np.log(np.maximum(alpha[np.arange(len(size)), size], 1e-300)) - (size * np.log(_SCALE))[:, None]
+        for rows in _groups(words, self.p.shape[1]):
+            some = [words[i] for i in rows]
+            if len(some[0]) > LONGEST:
+                out[rows] = Runs(some, self.table, self.lengths).total(self.logp)
+            else:
+                lattice = Lattice(some, self.table, self.lengths)
+                alpha, size = lattice.forward(self.p), lattice.words.size
+                whole = np.log(np.maximum(alpha[np.arange(len(size)), size], 1e-300)) - (size * np.log(_SCALE))[:, None]
+                out[np.array(rows)[lattice.order]] = whole
         return out
 
 
 def letters(text: str) -> list[str]:
-    """Words of a text; long runs in parts."""
-    words = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in words):
-        words = [w[a : a + LONGEST] for w in words for a in range(0, len(w), LONGEST)]
-    return words
+    """Words of a text."""
+    return _WORD.findall(text.lower())
 
 
 class Identifier:
@@ -187,7 +275,7 @@ class Identifier:
             self.known, self.values = {}, np.zeros((0, len(self.langs)))
             fresh = [*set().union(*split)]
         if fresh:
-            new = [self.model.score(fresh[a : a + 20_000]) for a in range(0, len(fresh), 20_000)]
+            new = [self.model.score(fresh[a : a + 100_000]) for a in range(0, len(fresh), 100_000)]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.values = np.concatenate([self.values, *new])
         return [(self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0), len(words)) for words in split]
@@ -206,46 +294,58 @@ class Identifier:
         return langs, scores
 
 
-def train(docs: DataFrame, path: str, most: int = MOST_DOCS) -> tuple[Unigrams, list[str]] | None:
+def train(docs: DataFrame, path: str, most: int = MOST_DOCS, rounds: int = ROUNDS) -> tuple[Unigrams, list[str]] | None:
     """The models and their languages in order, learnt from ``text`` and ``lang`` of rows that are not held out."""
-    rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
-    number = rows.groupBy("lang").count()  # one row a language
-    if number.count() <= MOST_LANGS:
-        number = F.broadcast(number)
-    number = number.select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")).alias("share"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    with Scratch(docs.sparkSession) as scratch:
+        return _train(docs, path, most, rounds, scratch)
+
+
+def _train(docs: DataFrame, path: str, most: int, rounds: int, scratch: Scratch) -> tuple[Unigrams, list[str]] | None:
+    spark = docs.sparkSession
     texts = docs.select("doc_id", "lang", "text").where("lang is not null and doc_id is not null and text is not null").where(fold(F.col("doc_id")) != 0)
-    drawn = texts.withColumn("draw", draw).join(number, "lang").where("draw < share")
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"models of more than {MOST_LANGS} languages are too large to broadcast")
+    share = spark.createDataFrame([(r["lang"], min(1.0, most / r["n"], MOST_BYTES / max(1, r["bytes"]))) for r in sizes], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    drawn = texts.join(F.broadcast(share), "lang").where(draw < F.col("share"))
     words = drawn.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-    counted = words.groupBy("lang", "word").count()
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In one task, since the sample is bounded: the models, pickled in parts."""
-        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if rows:
-            data = pickle.dumps(_fit(rows, path), protocol=5)
-            for at in range(0, len(data), 4 << 20):
-                yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
-
-    packed = counted.coalesce(1).mapInArrow(fitted, "part binary").collect()
-    return pickle.loads(b"".join(r["part"] for r in packed)) if packed else None
-
-
-def _fit(rows: list[tuple[str, str, int]], path: str) -> tuple[Unigrams, list[str]]:
-    """Models from (language, word, count), in the same order of words whatever the rows' order."""
-    langs = sorted({lang for lang, _, _ in rows})
-    column = {x: i for i, x in enumerate(langs)}
-    each = [(w[a : a + LONGEST], column[lang], n) for lang, w, n in rows for a in range(0, len(w), LONGEST)]
-    distinct = sorted({w for w, _, _ in each})
-    row = {w: i for i, w in enumerate(distinct)}
-    counts = np.zeros((len(distinct), len(langs)))
-    for w, j, n in each:
-        counts[row[w], j] += n
+    counted = scratch.table(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "counted")
+    langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]  # at most MOST_LANGS
+    if not langs:
+        return None
+    number = F.element_at(F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))]), F.col("lang"))
+    each = counted.groupBy("word").agg(F.collect_list(F.struct(number.alias("lang"), F.col("n").cast("double").alias("n"))).alias("n"))
+    each = scratch.table(each.repartition(spark.sparkContext.defaultParallelism, "word").select("word", F.transform("n", lambda x: x["lang"]).alias("langs"), F.transform("n", lambda x: x["n"]).alias("counts")), "words")
     model = Unigrams(vocabulary(path))
-    model.fit(distinct, counts)
+    model.start(len(langs))
+    for _ in range(rounds):
+        model.update(_expected(each, model, len(langs)))
     return model, langs
 
 
+def _expected(words: DataFrame, model: Unigrams, langs: int) -> np.ndarray:
+    """Expected uses of each piece by language over all partitions of ``word, langs, counts``."""
+    held = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                counts, sizes = np.zeros((batch.num_rows, langs)), np.diff(batch.column(1).offsets)
+                counts[np.repeat(np.arange(batch.num_rows), sizes), batch.column(1).flatten().to_numpy()] = batch.column(2).flatten().to_numpy()
+                total = total + held.value.uses(batch.column(0).to_pylist(), counts)
+        if not isinstance(total, float):
+            piece, lang = np.nonzero(total)
+            yield pa.record_batch([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "uses"])
+
+    sums = words.mapInArrow(run, "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()  # the model's size
+    held.destroy()
+    out = np.zeros((len(model.pieces), langs))
+    out[sums["piece"].to_numpy(), sums["lang"].to_numpy()] = sums["uses"].to_numpy()
+    return out
+
+
 def identify(docs: DataFrame, path: str, most: int = MOST_DOCS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, path, most))

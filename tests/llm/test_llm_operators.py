@@ -475,6 +475,78 @@ def test_forward_sums_all_segmentations():
 
     for w in [*words, "abc", "c", "aaab"]:
         assert np.allclose(model.score([w])[0], np.log(total("▁" + w)), atol=1e-9)
+        assert np.allclose(langid.Runs([w], model.table, model.lengths).total(model.logp)[0], np.log(total("▁" + w)), atol=1e-9)
+
+
+def all_cuts(word, pieces):
+    """Every way to cut a word into pieces; a letter without a piece of its own stands alone."""
+    if not word:
+        return [[]]
+    heads = [word[:k] for k in range(1, len(word) + 1) if word[:k] in pieces] + ([word[0]] if word[0] not in pieces else [])
+    return [[h, *rest] for h in heads for rest in all_cuts(word[len(h) :], pieces)]
+
+
+def test_expectation_maximisation_equals_brute_force(monkeypatch):
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "aba"]
+    words, counts = ["aba", "bab", "ab", "acab"], np.array([[3.0, 1.0], [1.0, 4.0], [2.0, 0.0], [1.0, 1.0]])
+    p = {x: np.full(2, 1 / len(pieces)) for x in pieces}
+    for _ in range(2):
+        uses = {x: np.zeros(2) for x in pieces}
+        for w, n in zip(words, counts, strict=True):
+            cuts = all_cuts("▁" + w, p)
+            weights = np.array([np.prod([p.get(x, np.full(2, langid.UNKNOWN)) for x in cut], axis=0) for cut in cuts])
+            for cut, share in zip(cuts, weights / weights.sum(axis=0), strict=True):
+                for x in cut:
+                    if x in uses:
+                        uses[x] += share * n
+        total = sum(uses.values())
+        pooled = {x: u.sum() + 0.01 for x, u in uses.items()}
+        p = {x: (1 - langid.POOLED) * u / total + langid.POOLED * pooled[x] / sum(pooled.values()) for x, u in uses.items()}
+    for longest in (48, 1):  # by products, and by logarithms
+        monkeypatch.setattr(langid, "LONGEST", longest)
+        model = langid.Unigrams(pieces)
+        model.fit(words, counts, rounds=2)
+        assert np.allclose(np.exp(model.logp[:-2]), [p[x] for x in pieces])
+
+
+def test_long_runs_are_summed_whole(monkeypatch):
+    rng = random.Random(19)
+    model = langid.Unigrams(langid.vocabulary(PIECE))
+    learnt = sorted({*pseudo(rng, 300).split(), "eau"})
+    model.fit(learnt, np.array([[1.0 + i % 2, 2.0] for i in range(len(learnt))]), rounds=1)
+    runs = ["".join(rng.choices(["th", "ing", "sch", "é", "中"], k=n)) for n in (10, 20, 40, 200, 3)]
+    p = {x: model.logp[i] for i, x in enumerate(model.pieces)}
+    longest = max(map(len, p))
+
+    def brute(word):
+        at = [np.zeros(2)]
+        for e in range(1, len(word) + 1):
+            found = [at[e - k] + p[word[e - k : e]] for k in range(1, min(e, longest) + 1) if word[e - k : e] in p]
+            found += [] if word[e - 1] in p else [at[e - 1] + np.log(langid.UNKNOWN)]
+            at.append(np.logaddexp.reduce(found, axis=0))
+        return at[-1]
+
+    assert np.allclose(model.score(runs), [brute("▁" + w) for w in runs], atol=1e-6)
+    monkeypatch.setattr(langid, "CELLS", 50)
+    assert np.allclose(model.score(runs), [brute("▁" + w) for w in runs], atol=1e-6)
+
+
+def test_language_of_a_compound_without_spaces(spark):
+    docs, n = lang_docs(spark)
+    model, langs = langid.train(docs, PIECE)
+    rng = random.Random(20)
+    for lang in ("de", "fr", "en"):
+        text = "".join(pseudo(rng, 60, lang).split())
+        assert len(text) > langid.LONGEST and langid.Identifier(model, langs).predict([text])[0] == [lang]
+    # the fit over partitions is the fit in one place
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect() if r["doc_id"] is not None and r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    counts = defaultdict(lambda: np.zeros(3))
+    for _, lang, text in rows:
+        for w in langid.letters(text):
+            counts[w][langs.index(lang)] += 1
+    one = langid.Unigrams(langid.vocabulary(PIECE))
+    one.fit(list(counts), np.array(list(counts.values())))
+    assert np.allclose(one.p, model.p, atol=1e-9)
 
 
 def lang_docs(spark, n=240):
