@@ -110,7 +110,10 @@ SQL["op6_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
 x AS ({_seeds('d', 'doc_id')}), y AS ({_seeds('b', 'item_id')}),
-h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i - y.i AS shift FROM x JOIN y ON x.mask = y.mask AND x.seed = y.seed),
+ys AS (SELECT item_id AS id, len(w) AS n, array_to_string(w, chr(31)) AS seed FROM b WHERE len(w) BETWEEN 1 AND {SPAN - 1}),
+xs AS (SELECT id, n, i, array_to_string(w[i:i + n - 1], chr(31)) AS seed FROM (SELECT doc_id AS id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM ys))),
+h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item_id, x.i - y.i AS shift FROM x JOIN y ON x.mask = y.mask AND x.seed = y.seed
+      UNION SELECT xs.id, ys.id, min(xs.i) - 1 FROM xs JOIN ys ON xs.n = ys.n AND xs.seed = ys.seed GROUP BY xs.id, ys.id),
 p AS (
   SELECT doc_id, item_id, shift, d.w AS dw, b.w AS bw, unnest(range(greatest(shift, 0), least(len(d.w), shift + len(b.w)))) AS k
   FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),

@@ -340,8 +340,13 @@ def brute_overlaps(texts, items):
         for i, x in items.items():
             b = words(x)
             if len(b) < decontaminate.SPAN:
+                if b and any(a[k : k + len(b)] == b for k in range(len(a))):
+                    found.add((d, i))
                 continue
             for shift in range(-len(b) + 1, len(a)):
+                both = range(max(shift, 0), min(len(a), shift + len(b)))
+                if not any(all(a[k + m] == b[k - shift + m] for m in mask) for mask in decontaminate.MASKS for k in both[: len(both) - decontaminate.SPAN + 1]):
+                    continue
                 best = now = 0
                 for k in range(max(shift, 0), min(len(a), shift + len(b))):
                     now = max(0, now + (2 if a[k] == b[k - shift] else -3))
@@ -353,12 +358,12 @@ def brute_overlaps(texts, items):
 
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(7)
-    items = {i: " ".join(pseudo(rng, 1) + str(rng.randint(0, 50)) for _ in range(n)) for i, n in enumerate([9, 15, 22, 40, 58])}
-    items |= {9: None, 10: ""}
-    texts = {}
-    for k in range(40):
-        words = pseudo(rng, rng.choice([0, 5, 40])).split()
-        cut = (items[rng.randrange(5)]).split()
+    items = {i: " ".join(pseudo(rng, 1) + str(rng.randint(0, 50)) for _ in range(n)) for i, n in enumerate([9, 15, 22, 40, 58, 1, 2, 5])}
+    items |= {9: None, 10: "", 11: "!"}
+    texts = {99: items[5], 98: " ".join(["x"] * 70 + [items[7], "y", items[0]]), 97: items[0][: items[0].rindex(" ")]}
+    for k in range(60):
+        words = pseudo(rng, rng.choice([0, 5, 40, 150])).split()
+        cut = (items[rng.randrange(8)]).split()
         if k % 3:
             for _ in range(rng.choice([0, 0, 1, 2, len(cut) // 5])):
                 cut[rng.randrange(len(cut))] = "q" + str(rng.random())[2:5]
@@ -376,6 +381,19 @@ def test_decontamination_equals_brute_force(spark):
         assert not decontaminate.overlaps(docs, bench.limit(0), scratch).count() and not decontaminate.overlaps(empty_docs(spark), bench, scratch).count()
 
 
+def test_masks_find_substituted_copies():
+    """Whole copies with every fifth word substituted at random."""
+    rng = random.Random(21)
+    for n, least in ((15, 0.98), (20, 0.99), (40, 1.0)):
+        hit = 0
+        for _ in range(1000):
+            same = [True] * n
+            for k in rng.sample(range(n), n // 5):
+                same[k] = False
+            hit += any(all(same[k + m] for m in mask) for mask in decontaminate.MASKS for k in range(n - decontaminate.SPAN + 1))
+        assert hit >= least * 1000
+
+
 def test_decontamination_of_repeated_and_null_ids(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(None, item), (None, "clean"), (1, item), (1, "clean too"), (2, item), (2, item)], "doc_id long, text string")
