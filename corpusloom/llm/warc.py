@@ -1,14 +1,15 @@
 """WARC archives: writing, reading, and resolving equal payloads to revisit records.
 
-Headers (never payloads) are shuffled by payload digest; the record that stays a response is found with a partially aggregated
-maximum, so that a digest shared by a third of all records costs no more than any other. Payloads move once, joined by their own
-record's key while the archives are written with fresh headers.
+Every row is written once with its header fields and a number of its own. Headers (never payloads) are then shuffled by payload digest;
+the record that stays a response is found with a partially aggregated maximum of (page_id, number), so that a digest shared by a third
+of all records costs no more than any other, and of several equal rows one is the response. Payloads move once, joined by their own
+record's number while the archives are written with fresh headers.
 
-Defined cases: a null payload is an empty one; a null id or target URI is an absent header and comes back as null; every row gives a
-record, and exact repeats of the row that stays the response are responses too, since nothing tells them apart; payloads below
+Defined cases: a null payload is an empty one; a null id or target URI is an absent header and comes back as null, and null ids come
+before all others; every row gives a record with a record id of its own, and exact repeats revisit one of them; payloads below
 ``min_payload_bytes`` are always responses; an empty input gives an archive set without records. Extra columns are ignored.
-Archives are gzip files whose size follows the shuffle partitions; ``records_per_file`` bounds them further. A reader task holds one
-compressed file at a time and unpacks it record by record.
+Archives are gzip files of one member each, of about ``FILE_BYTES`` of records (by their mean size). A reader task holds one compressed
+file at a time and unpacks it record by record.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from corpusloom.plans.scratch import Scratch
 
 _CRLF = "\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Bytes of records in a file, before compression.
+FILE_BYTES = 64 << 20
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "page_id bigint, url string, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_to_record string"
 
@@ -39,34 +42,32 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*digits), _HEX32, _BASE32)
 
 
-def _record_id(digest: Column, page: Column) -> Column:
-    name = F.md5(F.concat_ws("/", digest, F.coalesce(page.cast("string"), F.lit("-"))))
+def _record_id(digest: Column, page: Column, number: Column) -> Column:
+    name = F.md5(F.concat_ws("/", digest, F.coalesce(page.cast("string"), F.lit("-")), number.cast("string")))
     cut = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def with_headers(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest`` of every row."""
+def with_headers(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """``page_id, url, payload, payload_bytes, payload_digest, number`` of every row, as a written table: payloads are read and hashed
+    once, and numbers stay what they are."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    return base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.encode("payload", "UTF-8"))})
+    base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.encode("payload", "UTF-8")), "number": F.monotonically_increasing_id()})
+    return scratch.table(base, "records")
 
 
 def resolve(records: DataFrame, scratch: Scratch, min_payload_bytes: int = 0) -> DataFrame:
-    """``records`` with ``is_response`` and ``refers_to``: of equal payloads, the one with the largest page_id is the response.
+    """``records`` with ``is_response``, ``refers_to`` and ``refers_to_number``: of equal payloads, the one with the largest page_id is
+    the response.
 
-    ``records`` is joined to the responses by digest; both sides are plain exchanges, so adaptive execution splits a hot digest.
+    Headers are joined to the responses by digest; both sides are plain exchanges, so adaptive execution splits a hot digest.
     """
-    headers = records.select("page_id", "payload_digest", "payload_bytes")
-    large = headers.where(F.col("payload_bytes") >= min_payload_bytes)
-    originals = large.groupBy("payload_digest").agg(F.max("page_id").alias("original_id"), F.count("*").alias("copies")).where("copies > 1")
-    originals = scratch.table(originals.select("payload_digest", "original_id"), "originals")
-    joined = headers.distinct().join(originals, "payload_digest", "left")
-    keep = F.col("original_id").isNull() | (F.col("page_id") == F.col("original_id")) | (F.col("payload_bytes") < min_payload_bytes)
-    found = joined.select("page_id", "payload_digest", F.coalesce(keep, F.lit(False)).alias("is_response"), F.when(~F.coalesce(keep, F.lit(False)), F.col("original_id")).alias("refers_to"))
-    found = scratch.table(found.where("not is_response"), "revisits").withColumnRenamed("page_id", "_page").withColumnRenamed("payload_digest", "_digest")
-    on = (records["page_id"].eqNullSafe(found["_page"])) & (records["payload_digest"] == found["_digest"])
-    out = records.join(found, on, "left").drop("_page", "_digest")
-    return out.withColumn("is_response", F.coalesce("is_response", F.lit(True)))
+    headers = records.where(F.col("payload_bytes") >= min_payload_bytes).select("page_id", "payload_digest", "number")
+    originals = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "number")).alias("original"), F.count("*").alias("copies")).where("copies > 1")
+    originals = scratch.table(originals.select("payload_digest", "original"), "originals")
+    joined = headers.join(originals, "payload_digest").where(F.col("number") != F.col("original.number"))
+    revisits = scratch.table(joined.select("number", F.col("original.page_id").alias("refers_to"), F.col("original.number").alias("refers_to_number")), "revisits")
+    return records.join(revisits, "number", "left").withColumn("is_response", F.col("refers_to_number").isNull())
 
 
 def record_text(date: str = "2024-01-01T00:00:00Z") -> Column:
@@ -74,11 +75,11 @@ def record_text(date: str = "2024-01-01T00:00:00Z") -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
     maybe = lambda name, value: F.coalesce(line(name, value), F.lit(""))
     uri = F.regexp_replace("url", r"[\r\n]", " ")
-    refers = F.when(~F.col("is_response"), _record_id(F.col("payload_digest"), F.col("refers_to")))
+    refers = F.when(~F.col("is_response"), _record_id(F.col("payload_digest"), F.col("refers_to"), F.col("refers_to_number")))
     head = F.concat(
         F.lit("WARC/1.1" + _CRLF),
         line("WARC-Type", F.when(F.col("is_response"), "response").otherwise("revisit")),
-        line("WARC-Record-ID", _record_id(F.col("payload_digest"), F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("payload_digest"), F.col("page_id"), F.col("number"))),
         line("WARC-Date", F.lit(date)),
         maybe("WARC-Target-URI", uri),
         maybe("X-Page-ID", F.col("page_id").cast("string")),
@@ -91,7 +92,7 @@ def record_text(date: str = "2024-01-01T00:00:00Z") -> Column:
     return F.concat(head, F.lit(_CRLF), F.when(F.col("is_response"), F.col("payload")).otherwise(""), F.lit(_CRLF))
 
 
-def write_archives(resolved: DataFrame, path: str, records_per_file: int = 100_000) -> None:
+def write_archives(resolved: DataFrame, path: str, records_per_file: int) -> None:
     """Writes the records as gzip archives, in the JVM, to any file system that Spark writes to."""
     resolved.select(record_text().alias("value")).write.option("lineSep", _CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -146,8 +147,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve_read(records: DataFrame, scratch: Scratch) -> DataFrame:
     """Records of an archive set with the payload length and page of each revisit's original, joined by record id."""
     records = scratch.table(records, "read")
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("original_bytes"))
-    originals = scratch.table(originals.dropDuplicates(["refers_to_record"]), "responses")
+    asked = records.where("refers_to_record is not null").select(F.col("refers_to_record").alias("record_id")).distinct()
+    originals = records.where("record_type = 'response'").join(asked, "record_id", "left_semi")
+    originals = scratch.table(originals.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("original_bytes")), "responses")
     out = records.join(originals, "refers_to_record", "left")
     return out.select("page_id", F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url", "record_id")
 
@@ -156,5 +158,7 @@ def deduplicated_archives(spark: SparkSession, pages: DataFrame, min_payload_byt
     """Writes ``pages`` as deduplicated archives and returns what reading them back gives."""
     with Scratch(spark) as scratch:
         path = scratch.path("archives")
-        write_archives(resolve(with_headers(pages), scratch, min_payload_bytes), path)
+        records = with_headers(pages, scratch)
+        size = records.agg(F.avg("payload_bytes")).first()[0] or 0  # one row
+        write_archives(resolve(records, scratch, min_payload_bytes), path, max(1, int(FILE_BYTES / (size + 500))))
         return scratch.keep(resolve_read(read_archives(spark, path), scratch))

@@ -61,10 +61,34 @@ def test_warc_round_trip(spark):
     assert (by[1]["record_type"], by[1]["refers_to"]) == ("revisit", 2)
     assert (by[None]["record_type"], by[None]["refers_to"]) == ("revisit", 2)
     assert (by[3]["record_type"], by[3]["refers_to"]) == ("revisit", 4)
-    assert [r["record_type"] for r in got if r["page_id"] == 9] == ["response", "response"]
+    assert sorted((r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 9) == [("response", None), ("revisit", 9)]
+    assert len({r["record_id"] for r in got}) == len(rows)
     assert by[5]["record_type"] == "response"
 
 
+def test_warc_repeats_and_null_ids_have_one_response(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    rows = [(5, "u", "same", "p", "t")] * 4 + [(4, "u", "same", "p", "t")] + [(None, "n", "null ids", "p", "t")] * 3 + [(None, None, None, None, None)] * 2 + [(8, "u", "", "p", "t")]
+    got = warc.deduplicated_archives(spark, pages(spark, rows)).collect()
+    assert len(got) == len(rows) == len({r["record_id"] for r in got})
+    by = defaultdict(list)
+    for r in got:
+        by[r["payload_digest"]].append((r["record_type"], r["page_id"], r["refers_to"]))
+    assert sorted(map(str, (sorted(map(str, x)) for x in by.values()))) == sorted(
+        map(
+            str,
+            (
+                sorted(map(str, x))
+                for x in (
+                    [("response", 5, None)] + [("revisit", 5, 5)] * 3 + [("revisit", 4, 5)],
+                    [("response", None, None)] + [("revisit", None, None)] * 2,
+                    [("response", 8, None)] + [("revisit", None, 8)] * 2,
+                )
+            ),
+        )
+    )
+
+
 def test_warc_small_payloads_and_empty_table(spark):
     rows = [(1, "a", "xx", "p", "t"), (2, "b", "xx", "p", "t"), (3, "c", "long enough", "p", "t"), (4, "d", "long enough", "p", "t")]
     got = {r["page_id"]: r["record_type"] for r in warc.deduplicated_archives(spark, pages(spark, rows), 5).collect()}
