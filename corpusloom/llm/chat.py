@@ -25,6 +25,8 @@ _TAILS = ["s>", "/s>", "sep>", "ans>", "<SYS>>", "</SYS>>", "<ROLE>>", "</ROLE>>
 _TAIL = "(" + "|".join(t.replace("]", "\\]") for t in _TAILS) + ")"
 _OPEN = {"user": "[INST] ", "assistant": "<ans>", "system": "<<SYS>>"}
 _CLOSE = {"user": " [/INST]", "assistant": "</s>", "system": "<</SYS>>"}
+#: Pieces and spans that are put together at once: running sums and cuts go over blocks, then within one.
+BLOCK = 64
 _RUN = r"(?s)\[INST\] .*? \[/INST\]|<ans>.*?</s>|<<SYS>>.*?<</SYS>>|<<ROLE>>.*?<</TURN>>"
 
 
@@ -73,15 +75,42 @@ def _marked(run: Column) -> Column:
     return F.concat(F.array(piece(opening, F.lit(False))), F.flatten(body), F.array(piece(pick(_CLOSE, F.lit("<</TURN>>")), F.lit(False))))
 
 
+def _block(part: Column) -> Column:
+    """The text of a block of pieces, and where in it the loss pieces are."""
+    size = lambda p: F.length(p["text"])
+    before = lambda i: F.aggregate(F.slice(part, 1, i), F.lit(0), lambda n, p: n + size(p))
+    spans = F.transform(F.filter(F.sequence(F.lit(0), F.size(part) - 1), lambda i: part[i]["loss"]), lambda i: F.struct(before(i).alias("start"), size(part[i]).alias("length")))
+    return F.struct(F.array_join(F.transform(part, lambda p: p["text"]), "").alias("text"), spans.alias("spans"))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, pieces array<struct<text, loss>>, formatted``: the concatenated pieces are the formatted text, and those with
-    ``loss`` carry the loss mask."""
+    """``conv_id, formatted, loss array<struct<start, length>>``: the text, and the spans of its characters that carry the loss, one per
+    assistant text."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     runs = grouped.select("conv_id", _runs(F.col("turns")).alias("runs"))
     start = F.array(F.struct(F.lit("<s>").alias("text"), F.lit(False).alias("loss")))
     pieces = runs.select("conv_id", F.concat(start, F.flatten(F.transform("runs", _marked))).alias("pieces"))
-    return pieces.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
+    cut = F.transform(F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(BLOCK)), lambda at: _let(F.slice("pieces", at + 1, BLOCK), _block))
+    blocks = pieces.select("conv_id", cut.alias("blocks"))
+    sized = blocks.select("conv_id", "blocks", F.transform("blocks", lambda b: F.length(b["text"])).alias("sizes"))
+    before = lambda k: F.aggregate(F.slice("sizes", 1, k), F.lit(0), lambda n, x: n + x)
+    moved = F.transform("blocks", lambda b, k: _let(before(k), lambda at: F.transform(b["spans"], lambda x: F.struct((at + x["start"]).alias("start"), x["length"].alias("length")))))
+    return sized.select("conv_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("formatted"), F.flatten(moved).alias("loss"))
+
+
+def masked_text(formatted: Column, loss: Column) -> Column:
+    """The characters of a formatted text under its loss spans, unescaped span by span. Spans are cut in blocks, since cutting counts
+    characters from the start of a string."""
+
+    def cut(part: Column) -> Column:
+        first = part[0]["start"]
+        end = F.element_at(part, -1)["start"] + F.element_at(part, -1)["length"]
+        inside = lambda text: F.array_join(F.transform(part, lambda x: unescape(F.substring(text, x["start"] - first + 1, x["length"]))), "")
+        return _let(F.substring(formatted, first + 1, end - first), inside)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(loss) - 1, F.lit(BLOCK)), lambda at: _let(F.slice(loss, at + 1, BLOCK), cut))
+    return F.when(F.size(loss) == 0, "").otherwise(F.array_join(blocks, ""))
 
 
 def read_formatted(formatted: Column) -> Column:
@@ -103,13 +132,8 @@ def read_formatted(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted text and its loss mask give when read back."""
-    read = formatted.withColumns(
-        {
-            "_turns": read_formatted(F.col("formatted")),
-            "_loss": F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), ""),
-        }
-    )
+    """Per conversation, what its formatted text and its loss spans give when read back."""
+    read = formatted.withColumns({"_turns": read_formatted(F.col("formatted")), "_loss": masked_text(F.col("formatted"), F.col("loss"))})
     told = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -249,7 +249,22 @@ def test_parts_do_not_change_scores(monkeypatch):
 def read_back(spark, rows):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.format_conversations(turns)
-    return {r["conv_id"]: r for r in chat.digests(made).collect()}, {r["conv_id"]: r for r in made.select("conv_id", "formatted", "pieces", chat.read_formatted(F.col("formatted")).alias("turns")).collect()}
+    return {r["conv_id"]: r for r in chat.digests(made).collect()}, {r["conv_id"]: r for r in made.select("conv_id", "formatted", "loss", chat.read_formatted(F.col("formatted")).alias("turns")).collect()}
+
+
+def unescaped(text):
+    import re
+
+    return re.sub(r"([<\[])\\(\\*)" + chat._TAIL, r"\1\2\3", text)
+
+
+def test_loss_spans_of_a_long_conversation(spark):
+    rng = random.Random(22)
+    rows = [(1, k, rng.choice(["user", "assistant", "tool"]), rng.choice(["", "é😀", "</s>", "long " * 20])) for k in range(700)]
+    got, made = read_back(spark, rows)
+    said = [x for _, _, r, x in rows if r == "assistant"]
+    spans = [made[1]["formatted"][x["start"] : x["start"] + x["length"]] for x in made[1]["loss"]]
+    assert [unescaped(x) for x in spans] == said and got[1]["loss_sha256"] == hashlib.sha256("".join(said).encode()).hexdigest()
 
 
 def test_chat_round_trip_and_digests(spark):
@@ -266,7 +281,8 @@ def test_chat_round_trip_and_digests(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         said = "".join(x for r, x in turns if r == "assistant")
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
-        assert made[c]["formatted"] == "".join(p["text"] for p in made[c]["pieces"]) and got[c]["formatted_chars"] == len(made[c]["formatted"])
+        spans = [made[c]["formatted"][x["start"] : x["start"] + x["length"]] for x in made[c]["loss"]]
+        assert [unescaped(x) for x in spans] == [x for r, x in turns if r == "assistant"] and got[c]["formatted_chars"] == len(made[c]["formatted"])
     assert made[1]["formatted"].count("[INST]") == 1 and made[1]["formatted"].count("</s>") == 1  # only the template's own
 
 
@@ -851,7 +867,7 @@ def test_extra_columns_with_clashing_names(spark):
     names = ["n_bytes", "bits", "shard", "key", "sig", "words", "place", "seed", "item", "shift", "evidence", "score", "held_out", "length", "piece", "rank", "bucket", "n_words", "base_failed", "kept", "host", "group", "n", "own", "turn", "pieces", "formatted"]
     docs = spark.createDataFrame([(i, pseudo(rng, 60), "en", f"s{i % 2}", 1, *["mine"] * len(names)) for i in range(8)], DOCS + "".join(f", `{n}` string" for n in names))
     bench = spark.createDataFrame([(1, pseudo(rng, 20), "mine", "mine")], "item_id long, text string, words string, doc_id string")
-    turns = spark.createDataFrame([(1, 0, "user", "x", "mine", "mine")], "conv_id long, turn long, role string, text string, pieces string, formatted string")
+    turns = spark.createDataFrame([(1, 0, "user", "x", "mine", "mine")], "conv_id long, turn long, role string, text string, loss string, formatted string")
     labels = spark.createDataFrame([(i, 1, i % 2, "mine") for i in range(8)], "doc_id long, quality int, toxic int, text string")
     with Scratch(spark) as scratch:
         assert neardup.near_duplicates(docs, scratch).count() == 8
