@@ -12,7 +12,8 @@
    two, and the links give first components. What is left are lists that hold several components: their nodes outside the main
    component are paired with possible partners in other components, by size range. So pairs that are already connected are skipped,
    groups of copies are not expanded into all pairs, and no link between components is lost.
-5. Links that keep ``MATCHES`` coordinates are confirmed on full sets, and components are found by contraction.
+5. Pairs that collide on ``MATCHES`` coordinates or more are retained and confirmed on full sets, and components are found by
+   contraction.
 
 Defined cases: null, empty and wordless texts have empty sets and are alone; a text of under five words has its word sequence as its
 only shingle; component ids ignore null document ids, and are null where a group has no other; repeated rows are in one component;
@@ -114,22 +115,26 @@ def shared_shingles(texts: DataFrame) -> DataFrame:
     return both.select("node", F.coalesce("own", F.lit(0)).alias("own"), cells.alias("cells"))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: ``MATCHES`` equal coordinates, and then the threshold on full sets."""
+def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b, matches`` of the pairs that collide on ``MATCHES`` coordinates or more, counted over whole signatures."""
+    one, two = nodes.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), nodes.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"))
+    equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", equal.alias("matches")).where(F.col("matches") >= MATCHES)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that are links: those that match, held against the threshold on full sets. Texts move for those only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sa = np.asarray(batch.column(2).flatten()).reshape(-1, SIZE)
-            sb = np.asarray(batch.column(3).flatten()).reshape(-1, SIZE)
-            close = np.flatnonzero((sa == sb).sum(axis=1) >= MATCHES).tolist()
             links = []
-            for at in range(0, len(close), 256):
-                some = close[at : at + 256]
+            for at in range(0, len(a), 256):
+                some = range(at, min(at + 256, len(a)))
                 texts = {}
                 for i in some:
-                    texts.setdefault(a[i], (4, i))
-                    texts.setdefault(b[i], (5, i))
+                    texts.setdefault(a[i], (2, i))
+                    texts.setdefault(b[i], (3, i))
                 whole = [batch.column(c)[i].as_py().encode("utf-8") for c, i in texts.values()]
                 sets = dict(zip(texts, [s for part in slices(whole, 2_000_000) for s in shingle_sets(whole[part], WIDTH)], strict=True))
                 for i in some:
@@ -140,9 +145,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             kept = pa.array(links, pa.int64())
             yield pa.record_batch([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
-    one = nodes.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
-    two = nodes.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b", "text_a", "text_b")
+    found = scratch.table(matching(pairs, nodes).select("a", "b"), "matching")
+    one, two = nodes.select(F.col("key").alias("a"), F.col("text").alias("text_a")), nodes.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    both = found.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a binary, b binary")
 
 
@@ -178,7 +183,7 @@ def links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     tries = tries.groupBy(F.col("key").alias("a"), F.col("head.key").alias("b")).agg(F.count("*").alias("hits"))
     best = tries.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("hits", "b")), False).alias("best"))  # at most one a prefix pair
     first = scratch.table(best.select("a", F.explode(F.slice("best", 1, 2)).alias("x")).select("a", "x.b"), "first")
-    found = scratch.table(confirmed(first, able), "links")
+    found = scratch.table(confirmed(first, able, scratch), "links")
 
     labels = components(found, scratch)
     named = post.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -195,7 +200,7 @@ def links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     more = apart.join(others, ["pair", "bucket"]).where((F.col("lx") != F.col("label")) & _possible(F.col("n"), F.col("own"), F.col("nx"), F.col("ex")) & _possible_by_cells(F.col("n"), F.col("cells"), F.col("nx"), F.col("cx")))
     more = more.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
     more = scratch.table(more, "more")
-    return found.unionByName(scratch.table(confirmed(more, able), "links")).select("a", "b")
+    return found.unionByName(scratch.table(confirmed(more, able, scratch), "links")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
