@@ -42,14 +42,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         others = scratch.table(others.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "others")
         kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
         kept = kept.join(others, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
-        # exact repeats of a kept row (same id, same text) are few; only they are compared further
+        # exact repeats of a kept row (same id, same text) are few; only they are compared further, by their other columns
         twice = rows.where("group is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
         twice = scratch.table(twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "repeated")
         on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
         if twice.isEmpty():
             return scratch.keep(kept.select("_row.*"), "unique")
         once = kept.join(twice, on, "left_anti").select("_row")
-        one = kept.join(twice, on, "left_semi").groupBy("_doc", "_text").agg(F.first("_row").alias("_row")).select("_row")
+        one = kept.join(twice, on, "left_semi").groupBy("_doc", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
         return scratch.keep(once.unionByName(one).select("_row.*"), "unique")
 
 
@@ -75,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: The models of the first stage and the tokens of the last can't be expressed in SQL; tests hold run() against brute force.
+#: The models of the first stage and the tokens of the last can't be expressed in SQL; a test holds run() against plain Python.
 ORACLE_SQL: str | None = None
 
 
