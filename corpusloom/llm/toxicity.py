@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe_count import PART, parts, slices
-from corpusloom.llm.ragged import Table, Words
+from corpusloom.llm.ragged import Sorted, Words
 from corpusloom.plans.scratch import Scratch
 
 ORDER, SHARED, DISCOUNT, PAIR_DISCOUNT = 10, 6, 0.75, 5
@@ -53,6 +53,8 @@ BEST = 3
 DEFAULT_CURVE = (2.0, -10.0)
 MOST_DOCS, MOST_BYTES = 6000, 64 << 20
 STRATA = 1024
+#: Grams and documents that are handled at once.
+SLICE, SOME_DOCS = 100_000, 500
 REMEMBERED = 300_000
 _WORD = regex.compile(r"\p{L}+")
 _OPEN, _CLOSE = "\x02", "\x03"
@@ -103,13 +105,13 @@ def own_lower(words: list[str]) -> tuple[np.ndarray, ...]:
     return short, n, np.bincount(back, n)[back], np.bincount(back)[back]
 
 
-def shared_probabilities(grams: list[str], lower: tuple[np.ndarray, ...]) -> np.ndarray:
-    """p(last character | the others), from grams that begin at the word's start or are ``ORDER`` long: interpolated over orders below
-    ``SHARED``, with the number of distinct one-longer grams as counts."""
+def shared_probabilities(words: Words, lower: tuple[np.ndarray, ...]) -> np.ndarray:
+    """p(last character | the others) of grams that begin at the word's start or are ``ORDER`` long: interpolated over orders below
+    ``SHARED``, with the number of distinct one-longer grams as counts. ``lower`` is in the order of its fingerprints."""
     keys, count, total, types = lower
-    rows, words = Table(keys), Words(grams)
+    rows = Sorted(keys)
     last = words.start + words.size - 1
-    prob = np.full(len(grams), 1.0 / 256)
+    prob = np.full(len(words.size), 1.0 / 256)
     for w, sums in enumerate(words.sums(SHARED - 1), 1):  # grams of w characters
         mine = np.flatnonzero(words.size > w)  # a longer gram exists
         row = rows.find(words.finished(sums[last[mine] - w + 1], w))
@@ -128,21 +130,27 @@ class Contrast:
     def __init__(self, grams: dict[str, list], pairs: dict[str, list], lower: tuple[np.ndarray, ...]) -> None:
         """``grams``: columns gram, o, t (its counts in the ordinary and in the toxic class), so, st (its context's) and do, dt (the
         discounts after its context); all grams with a count of 2 or more. ``pairs``: the same of words (after, word) of documents."""
-        text = Words(grams["gram"])
-        keys, base = text.whole(), shared_probabilities(grams["gram"], lower)
-        short = Words([g[:-1] for g in grams["gram"]])
-        context = short.whole()
+        lower = tuple(c[np.argsort(lower[0])] for c in lower)
+        text, keys, context, base = pa.chunked_array([grams["gram"]] if isinstance(grams["gram"], list) else grams["gram"].chunks, pa.string()), [], [], []
+        for start in range(0, max(len(text), 1), SLICE):
+            some = text.slice(start, SLICE).to_pylist()
+            words = Words(some)
+            keys.append(words.whole())
+            base.append(shared_probabilities(words, lower))
+            context.append(Words([g[:-1] for g in some]).whole())
+        keys, context, base = np.concatenate(keys), np.concatenate(context), np.concatenate(base)
+        order = np.argsort(keys)
         logs, backs = [], []
         for n, total, left in (("o", "so", "do"), ("t", "st", "dt")):
-            n, total, left = (np.asarray(grams[c], dtype=float) for c in (n, total, left))
+            n, total, left = (np.asarray(grams[c], dtype=float)[order] for c in (n, total, left))
             full = np.maximum(total, 1)
             weight = np.where(total > 0, left / full, 1.0)
             seen = np.where(n < 2, 0, n - DISCOUNT)
             backs.append(np.log(np.maximum(weight, 1e-12)))
-            logs.append(np.log(seen / full + weight * base))
-        self.gram, self.gram_llr = Table(keys), (logs[1] - logs[0]).astype(np.float32)
-        first = np.unique(context, return_index=True)[1]
-        self.context, self.context_llr = Table(context[first]), (backs[1] - backs[0])[first].astype(np.float32)
+            logs.append(np.log(seen / full + weight * base[order]))
+        self.gram, self.gram_llr = Sorted(keys[order]), (logs[1] - logs[0]).astype(np.float32)
+        short, first = np.unique(context[order], return_index=True)
+        self.context, self.context_llr = Sorted(short), (backs[1] - backs[0])[first].astype(np.float32)
         self._pairs(pairs, logs)
 
     def _pairs(self, pairs: dict[str, list], logs: list[np.ndarray]) -> None:
@@ -328,6 +336,19 @@ def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([*o], pa.string()), pa.array([*o.values()], pa.int64()), pa.array([t[g] for g in o], pa.int64())], ["gram", "o", "t"])
 
 
+def _next_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``after, word, o, t``: documents of each class with a pair of words, of documents (toxic, w), added up over a few of them."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SOME_DOCS):
+            part = batch.slice(start, SOME_DOCS)
+            counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+            for toxic, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for pair in {*zip(words, words[1:], strict=False)}:
+                    counts[pair][toxic] += 1
+            columns = ([p[0] for p in counts], [p[1] for p in counts], *([n[c] for n in counts.values()] for c in (0, 1)))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["after", "word", "o", "t"])
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of the ends of less than ``SHARED`` characters of grams."""
     for batch in batches:
@@ -338,12 +359,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.unique(np.concatenate(keys)).astype(np.int64))], ["key"])
 
 
-def _with_contexts(counted: DataFrame, context: Column, discounted: Column, strong: Column, scratch: Scratch) -> DataFrame:
-    """The ``strong`` rows of ``counted`` (with counts ``o`` and ``t``), with their context's totals ``so, st`` and discounts ``do, dt``.
-    ``discounted`` gives an array of both classes' discounts."""
+def _with_contexts(counted: DataFrame, context: Column, discounted: Callable[[Column], Column], strong: Column, scratch: Scratch) -> DataFrame:
+    """The ``strong`` rows of ``counted`` (with counts ``o`` and ``t``), with their context's totals ``so, st`` and discounts ``do, dt``."""
     rows = scratch.table(counted.withColumn("_c", context), "counted")
-    totals = rows.withColumn("_d", discounted).groupBy("_c").agg(F.sum("o").alias("so"), F.sum("t").alias("st"), F.sum(F.col("_d")[0]).alias("do"), F.sum(F.col("_d")[1]).alias("dt"))
-    return rows.where(strong).join(totals, "_c").drop("_c")
+    found = rows.where(strong)
+    contexts = scratch.table(found.select("_c").distinct(), "contexts")  # most contexts have no strong row
+    o, t = discounted(F.col("o")), discounted(F.col("t"))
+    totals = rows.join(contexts, "_c", "left_semi").groupBy("_c").agg(F.sum("o").alias("so"), F.sum("t").alias("st"), F.sum(o).alias("do"), F.sum(t).alias("dt"))
+    return found.join(totals, "_c").drop("_c")
 
 
 def _counts(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -352,13 +375,10 @@ def _counts(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     both = (F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t"))
     counted = scratch.table(split.select("toxic", F.explode("w").alias("word")).groupBy("word").agg(*both), "words")
     grams = counted.mapInArrow(_spelt, "gram string, o long, t long").groupBy("gram").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    off = F.array(_discounted(F.col("o")), _discounted(F.col("t")))
-    grams = _with_contexts(grams, F.expr("substring(gram, 1, length(gram) - 1)"), off, (F.col("o") >= 2) | (F.col("t") >= 2), scratch)
-    next_to = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("after"), F.get("w", i + 1).alias("word")))
-    pairs = split.where(F.size("w") > 1).select("toxic", F.explode(F.array_distinct(next_to)).alias("p"))
-    pairs = pairs.groupBy("p.after", "p.word").agg(*both)
-    off = F.array(*[F.least(F.col(c), F.lit(PAIR_DISCOUNT)).cast("double") for c in ("o", "t")])
-    return grams, _with_contexts(pairs, F.col("after"), off, (F.col("o") > PAIR_DISCOUNT) | (F.col("t") > PAIR_DISCOUNT), scratch)
+    grams = _with_contexts(grams, F.expr("substring(gram, 1, length(gram) - 1)"), _discounted, (F.col("o") >= 2) | (F.col("t") >= 2), scratch)
+    pairs = split.where(F.size("w") > 1).mapInArrow(_next_to, "after string, word string, o long, t long").groupBy("after", "word").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    capped = lambda n: F.least(n, F.lit(PAIR_DISCOUNT)).cast("double")
+    return grams, _with_contexts(pairs, F.col("after"), capped, (F.col("o") > PAIR_DISCOUNT) | (F.col("t") > PAIR_DISCOUNT), scratch)
 
 
 _NUMBERS = ("o", "t", "so", "st", "do", "dt")
@@ -373,8 +393,9 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(read)
     own, pairs, lower = (table.filter(pc.is_valid(table[c])) for c in ("gram", "after", "key"))
     shared = (lower["key"].to_numpy().astype(np.uint64), *(lower[c].to_numpy().astype(float) for c in ("n", "total", "types")))
-    columns = lambda rows, names: {c: rows[c].to_pylist() for c in (*names, *_NUMBERS)}
-    data = pickle.dumps(Contrast(columns(own, ["gram"]), columns(pairs, ["after", "word"]), shared), protocol=5)
+    numbers = lambda rows: {c: rows[c].to_numpy() for c in _NUMBERS}
+    words = {c: pairs[c].to_pylist() for c in ("after", "word")}
+    data = pickle.dumps(Contrast({"gram": own["gram"]} | numbers(own), words | numbers(pairs), shared), protocol=5)
     for at in range(0, len(data), 4 << 20):
         yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
 
