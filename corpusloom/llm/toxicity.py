@@ -35,6 +35,7 @@ from __future__ import annotations
 import pickle
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -181,17 +182,21 @@ class Contrast:
             return np.zeros(0)
         kept = _bounded(words)
         at, context, gram = _grams(kept)
-        row = self.gram.find(gram)
+        distinct, back = np.unique(gram, return_inverse=True)
+        row = self.gram.find(distinct)[back]
         value = np.where(row >= 0, self.gram_llr[row] if len(self.gram_llr) else 0.0, 0.0)
         rest = np.flatnonzero(row < 0)
         crow = self.context.find(context[rest])
         value[rest] = np.where(crow >= 0, self.context_llr[crow] if len(self.context_llr) else 0.0, 0.0)
         return np.bincount(kept.word[at], value, len(words))
 
-    def in_sequence(self, ids: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        """Evidence of words in a row, from their numbers (0: in no pair) and their evidence by characters."""
+    def in_sequence(self, ids: np.ndarray, alone: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+        """Evidence of words in a row, from their numbers (0: in no pair) and their evidence by characters; ``begins``: the places of
+        words that begin a text."""
         out = alone.copy()
         back = self.after[ids[:-1]]
+        if begins is not None:
+            back[begins[begins > 0] - 1] = np.nan
         known = np.flatnonzero(~np.isnan(back))  # never 0, whose entry is not a number
         if len(known):
             key = ids[known] * self.number + ids[known + 1]
@@ -238,12 +243,16 @@ class Scorer:
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.values = np.concatenate([self.values, *new])
             self.ids = np.concatenate([self.ids, np.fromiter((self.model.ids.get(w, 0) for w in fresh), np.int64, len(fresh))])
+        ends = np.cumsum([len(words) for words in split], dtype=np.int64) if split else np.zeros(0, np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        if not total:
+            return [np.zeros(0)] * len(split)
+        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, total)
+        found = self.model.in_sequence(self.ids[rows], self.values[rows], ends[:-1][ends[:-1] < total])
         out = []
-        for words in split:
-            rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            found = self.model.in_sequence(self.ids[rows], self.values[rows]) if len(rows) > 1 else self.values[rows]
-            found = found[1:] if before is not None else found
-            out.append(np.partition(found, -BEST)[-BEST:] if len(found) > BEST else found)
+        for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            part = found[first + (before is not None) : last]
+            out.append(np.partition(part, -BEST)[-BEST:] if len(part) > BEST else part)
         return out
 
 
@@ -444,12 +453,14 @@ def scores(docs: DataFrame, model: tuple[Contrast, float, float] | None, carried
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = held.value
         scorer = Scorer(found[0]) if found else None
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            out = np.zeros(len(texts))
-            if scorer:
-                for part in slices(texts, 1_000_000):
-                    out[part] = 1 / (1 + np.exp(-np.clip(found[1] * scorer.evidence(texts[part]) + found[2], -30, 30)))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "_score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SOME_DOCS):
+                batch = whole.slice(at, SOME_DOCS)
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                out = np.zeros(len(texts))
+                if scorer:
+                    for part in slices(texts, 1_000_000):
+                        out[part] = 1 / (1 + np.exp(-np.clip(found[1] * scorer.evidence(texts[part]) + found[2], -30, 30)))
+                yield pa.record_batch([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "_score"])
 
     return docs.select(*carried, F.col("text").alias("_text")).mapInArrow(run, schema)
