@@ -66,14 +66,22 @@ def single_line(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", " ")
 
 
-def stripped_markup(text: Column, italics: bool = True) -> Column:
-    """Text without Markdown's headers, bold, bullets, numbering, fences and (with look-around, so not in every engine) italics."""
-    out = F.regexp_replace(text, r"(?m)^#{1,6}[ \t]+", "")
-    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "$1")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[-*][ \t]+", "")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[0-9]+\.[ \t]+", "")
-    out = F.regexp_replace(out, r"(?m)^```.*$", "")
-    return F.regexp_replace(out, r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1") if italics else out
+# What counts as Markdown's headers, bold marks, bullets, numbering, fences and italics, in the order of removal.
+MARKUP = (
+    (r"(?m)^\s{0,3}#{1,6}\s*", ""),
+    (r"\*\*|__", ""),
+    (r"(?m)^\s*[\*\-•]\s+", ""),
+    (r"(?m)^\s*\d+(\.\d+)*[\.\)]\s+", ""),
+    (r"(?m)^\s*```\w*\s*$", ""),
+    (r"(?<!\*)\*(?!\s)([^*\n]+)\*", "$1"),
+)
+
+
+def stripped_markup(text: Column) -> Column:
+    """Text without Markdown's marks. Lines end at line feeds only, and blanks, digits and letters are those of Unicode."""
+    for pattern, kept in MARKUP:
+        text = F.regexp_replace(text, f"(?Ud){pattern}", kept)
+    return text
 
 
 def byte_tokens(text: Column, bos: int | None = 256, eos: int | None = 257) -> Column:

@@ -70,6 +70,38 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFra
         edges = scratch.table(edges.join(decided.where("kept is null").select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"), "edges")
 
 
+def greedy_keep_by_keys(nodes: DataFrame, keys: Sequence[str], group: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, kept``: in node order, a node is kept unless one before it was kept that shares a key (nulls are shared with nothing),
+    is in its group, or is in a group that an edge (a, b) joins to it.
+
+    In rounds over what is undecided: a node that is the first of all its keys and of its group, and before the firsts of all joined
+    groups, is kept, and all it excludes are dropped; the result equals the sequential fold. Shared keys and groups are minima, so that
+    large ones make no pairs.
+    """
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
+    both = scratch.table(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    tied, made = [*keys, group], None
+    left = scratch.table(nodes.select("node", *tied), "undecided")
+    while not left.isEmpty():
+        free = left
+        for k in tied:
+            first = left.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("node").alias("_first"))
+            free = free.join(first, F.col(k) == F.col("_k"), "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("node"))).drop("_k", "_first")
+        firsts = scratch.table(left.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.min("node").alias("first")), "firsts")
+        near = both.join(firsts.withColumnRenamed("g", "y"), "y").groupBy("x").agg(F.min("first").alias("_near"))
+        free = free.join(near, F.col(group) == F.col("x"), "left").where(F.col("_near").isNull() | (F.col("_near") > F.col("node"))).drop("x", "_near")
+        free = scratch.table(free, "free")
+        out = left.join(free.select("node"), "node", "left_anti")
+        for k in tied:
+            out = out.join(free.select(F.col(k).alias("_k")).where("_k is not null").distinct(), F.col(k) == F.col("_k"), "left_anti")
+        joined = both.join(free.select(F.col(group).alias("x")).where("x is not null").distinct(), "x").select(F.col("y").alias("_g")).distinct()
+        rest = scratch.table(out.join(joined, F.col(group) == F.col("_g"), "left_anti"), "undecided")
+        decided = left.join(rest.select("node"), "node", "left_anti").join(free.select(F.col("node").alias("_free")), F.col("node") == F.col("_free"), "left")
+        part = scratch.table(decided.select("node", F.col("_free").isNotNull().alias("kept")), "decided")
+        made, left = part if made is None else made.unionByName(part), rest
+    return made if made is not None else nodes.select("node", F.lit(True).alias("kept"))
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row of each key by ``order``; a partially aggregated maximum of the whole row."""
     rest = [c for c in df.columns if c not in keys]

@@ -121,3 +121,33 @@ def controlled_weights(windows: DataFrame, source: str, window: str, excess: str
     rows = folded.select(source, F.explode(ema).alias("_e")).select(source, f"_e.{window}", "_e.ema")
     clipped = F.least(F.greatest(F.col("ema"), F.lit(low)), F.lit(high))
     return rows.withColumn("_c", clipped).withColumn("weight", F.col("_c") / F.sum("_c").over(Window.partitionBy(window))).drop("_c")
+
+
+def reweighted(windows: DataFrame, source: str, window: str, excess: str, beta: float, eta: float, low: float, high: float, zscore: bool = False, least_spread: float = 1e-6, base: dict[str, float] | None = None) -> DataFrame:
+    """``ema, weight`` of every source in every window from the first (0) on: base weights (equal by default) times the exponential of
+    ``eta`` times the moving average of the excess, less its weighted mean and, with ``zscore``, over its weighted deviation; held within
+    ``low`` and ``high`` times the base and renormalised. A source without data in a window keeps its average (0 before its first).
+
+    Windows are one row a source each, so what is folded and spread out here is small whatever the log's size.
+    """
+    names = sorted(r[0] for r in windows.select(source).distinct().collect())  # few by nature
+    share = {n: (base or {}).get(n, 1.0) / sum((base or {}).get(m, 1.0) for m in names) for n in names}
+    last = windows.agg(F.max(window)).first()[0] or 0
+    found = windows.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct(F.col(window).cast("long"), excess))).alias("_m"))
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")), lambda w: F.col("_m")[w])
+
+    def add(acc: Column, x: Column) -> Column:
+        before = F.try_element_at(acc, F.lit(-1))
+        now = F.when(x.isNull(), before).when(before.isNull(), x).otherwise(F.lit(beta) * before + F.lit(1 - beta) * x)
+        return F.concat(acc, F.array(now))
+
+    ema = F.aggregate(steps, F.array().cast("array<double>"), add)
+    rows = found.select(source, F.posexplode(ema).alias(window, "_e")).select(source, F.col(window).cast("long").alias(window), F.coalesce("_e", F.lit(0.0)).alias("ema"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, share[n])]), F.col(source))
+    per = Window.partitionBy(window)
+    rows = rows.withColumn("_b", weight).withColumn("_c", F.col("ema") - F.sum(F.col("_b") * F.col("ema")).over(per))
+    if zscore:
+        spread = F.sum(F.col("_b") * F.col("_c") * F.col("_c")).over(per)
+        rows = rows.withColumn("_c", F.col("_c") / F.sqrt(F.greatest(spread, F.lit(least_spread * least_spread))))
+    raw = F.least(F.greatest(F.col("_b") * F.exp(F.lit(eta) * F.col("_c")), F.lit(low) * F.col("_b")), F.lit(high) * F.col("_b"))
+    return rows.withColumn("_r", raw).select(source, window, "ema", (F.col("_r") / F.sum("_r").over(per)).alias("weight"))

@@ -1,57 +1,105 @@
-"""MinHash with bands, for candidates against a corpus."""
+"""MinHash with bands, for candidates against a corpus.
+
+A word is 32 bits of its MD5, a shingle the scrambled weighted sum of its words, and a signature the smallest values of the shingles
+under odd multiples modulo 2^32, so that all of it is wrapping 32-bit arithmetic that SQL can repeat. Texts of a batch lie side by side:
+a worker looks every distinct word up once, and takes minima over fixed runs of shingles, wherever texts begin and end.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import words
 from corpusloom.plans.scratch import Scratch
 
-# The signature's prime, its size and bands, and the shingle's word count and multiplier.
-PRIME, HASHES, ROWS, WIDTH, FACTOR = (1 << 31) - 1, 128, 4, 5, 1_000_003
+# The signature's size and bands, the shingle's word count, and the agreement that counts as near.
+HASHES, ROWS, WIDTH = 128, 4, 5
 #: Share of equal signature entries from which two texts count as near-duplicates.
-AGREEMENT = 0.8
+AGREEMENT = 0.7
+#: Shingles whose values are held at once, and words that a worker remembers.
+RUN, REMEMBERED = 8192, 500_000
+_WORD = re.compile(r"\w+")
+
+
+def _number(name: str) -> int:
+    """A number below 2^32 for a name."""
+    return int.from_bytes(hashlib.md5(name.encode("utf-8", "surrogatepass")).digest()[:4], "big")
 
 
 def parameters(n: int = HASHES) -> tuple[list[int], list[int]]:
-    """Multipliers and increments below the prime, by a rule that SQL can repeat: powers of two generators."""
-    a, b, x, y = [], [], 48_271, 69_621
-    for _ in range(n):
-        a.append(x)
-        b.append(y)
-        x, y = x * 48_271 % PRIME, y * 69_621 % PRIME
-    return a, b
+    """Multipliers (odd, below 2^30) and increments of the signature's functions."""
+    return [_number(f"times {j}") >> 2 | 1 for j in range(n)], [_number(f"plus {j}") for j in range(n)]
+
+
+def weights() -> tuple[list[int], int]:
+    """Odd multipliers of a shingle's words, and the one that scrambles their sum, below 2^30."""
+    return [_number(f"word {k}") >> 2 | 1 for k in range(WIDTH)], _number("scramble") >> 2 | 1
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(weights()[1])
+    return x ^ (x >> np.uint32(13))
+
+
+class Signer:
+    """Signatures of texts; remembers words between batches."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        a, b = parameters()
+        self.a, self.b = np.array(a, np.uint32)[:, None], np.array(b, np.uint32)[:, None]
+
+    def _numbers(self, split: list[list[str]]) -> np.ndarray:
+        fresh = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known, fresh = {}, set(chain.from_iterable(split))
+        self.known.update((w, _number(w)) for w in fresh)
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.uint32, sum(map(len, split)))
+
+    def signatures(self, split: list[list[str]]) -> np.ndarray:
+        """A row per text; every text has a word."""
+        numbers, times = self._numbers(split), [np.uint32(m) for m in weights()[0]]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        start = np.cumsum(size) - size
+        places = np.maximum(size - WIDTH + 1, 1)
+        text = np.repeat(np.arange(len(split)), places)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(places) - places, places) + start[text]
+        value = np.zeros(len(text), np.uint32)
+        for k in range(WIDTH):  # a short text has the words that it has
+            there = size[text] > k
+            value[there] += numbers[at[there] + k] * times[k]
+        value = _scrambled(value)
+        best = np.full((len(split), HASHES), 0xFFFFFFFF, np.uint32)
+        for first in range(0, len(value), RUN):
+            part = text[first : first + RUN]
+            begins = np.flatnonzero(np.diff(part, prepend=-1))
+            least = np.minimum.reduceat(self.a * value[None, first : first + RUN] + self.b, begins, axis=1)
+            best[part[begins]] = np.minimum(best[part[begins]], least.T)
+        return best
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, signature array<bigint>`` of every text with a word; a text of under five words has one shingle, its whole sequence."""
-    a, b = (np.array(x, dtype=np.int64)[:, None] for x in parameters())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for hashes in batch.column(1):
-                h = np.asarray(hashes.values, dtype=np.uint64)
-                width = min(WIDTH, len(h))
-                sh = np.zeros(len(h) - width + 1, dtype=np.uint64)
-                for k in range(width):
-                    sh = (sh * np.uint64(FACTOR) + h[k : len(h) - width + 1 + k]) & np.uint64(0xFFFFFFFF)
-                x = np.unique(sh).astype(np.int64)
-                best = np.full(HASHES, PRIME, dtype=np.int64)
-                for at in range(0, len(x), 8192):
-                    best = np.minimum(best, ((a * x[None, at : at + 8192] + b) % PRIME).min(axis=1))
-                out.append(best)
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-            ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * HASHES)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "signature"])
-
-    hashed = F.transform(words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), hashed.alias("hashes")).where(F.size("hashes") > 0)
+        signer = Signer()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                split = [_WORD.findall(t.lower()) for t in batch.column(1).to_pylist()]
+                some = [i for i, words in enumerate(split) if words]
+                found = signer.signatures([split[i] for i in some]).astype(np.int64)
+                ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * HASHES)
+                yield pa.record_batch([batch.column(0).take(pa.array(some, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], ["doc_id", "signature"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, signature array<bigint>")
 
 
@@ -61,9 +109,9 @@ def classes(signed: DataFrame) -> DataFrame:
 
 
 def banded(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with ``band`` and ``rows``, the exact tuple of the band's entries."""
-    starts = F.array(*[F.struct(F.lit(k).alias("band"), F.slice("signature", k * ROWS + 1, ROWS).alias("rows")) for k in range(HASHES // ROWS)])
-    return df.select(*keep, "signature", F.explode(starts).alias("_b")).select(*keep, "signature", "_b.band", "_b.rows")
+    """``keep`` with ``key``, a hash of each band and its entries."""
+    keys = [F.xxhash64(F.lit(k), *[F.get("signature", F.lit(k * ROWS + i)) for i in range(ROWS)]) for k in range(HASHES // ROWS)]
+    return df.select(*keep, F.explode(F.array(*keys)).alias("key"))
 
 
 def agreement(a: str, b: str):  # noqa: ANN201
@@ -78,7 +126,7 @@ def class_pairs(signed: DataFrame, scratch: Scratch) -> DataFrame:
     has too.
     """
     rows = scratch.table(classes(signed).select("first", "signature"), "classes")
-    posts = banded(rows, ["first"]).select("first", F.xxhash64("band", "rows").alias("key"))
+    posts = banded(rows, ["first"])
     shared = scratch.table(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     posts = scratch.table(posts.join(shared, "key"), "posts")
     left, right = posts.select("key", F.col("first").alias("a")), posts.select("key", F.col("first").alias("b"))
@@ -92,9 +140,7 @@ def near_flags(candidates: DataFrame, corpus: DataFrame, scratch: Scratch) -> Da
     """``doc_id, near``: whether the corpus has a signature that agrees with the candidate's in ``AGREEMENT`` of the entries."""
     own = scratch.table(classes(candidates).select("first", "signature"), "own")
     other = scratch.table(classes(corpus).select(F.col("first").alias("other"), "signature"), "other")
-    left = banded(own, ["first"]).select("first", F.xxhash64("band", "rows").alias("key"))
-    right = banded(other, ["other"]).select("other", F.xxhash64("band", "rows").alias("key"))
-    pairs = scratch.table(left.join(right, "key").select("first", "other").distinct(), "pairs")
+    pairs = scratch.table(banded(own, ["first"]).join(banded(other, ["other"]), "key").select("first", "other").distinct(), "pairs")
     scored = pairs.join(own.withColumnRenamed("signature", "sa"), "first").join(other.withColumnRenamed("signature", "sb"), "other")
     hit = scratch.table(scored.where(agreement("sa", "sb") >= AGREEMENT * HASHES).select("first").distinct(), "hit")
     flagged = own.join(hit.withColumn("near", F.lit(True)), "first", "left").select("signature", F.coalesce("near", F.lit(False)).alias("near"))

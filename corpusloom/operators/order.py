@@ -37,10 +37,11 @@ def numbered(df: DataFrame, order: str, name: str = "row", by: Sequence[str] = (
     return running_sum(df.withColumn("_one", F.lit(1)), "_one", order, name, by).drop("_one")
 
 
-def hash_ranked(df: DataFrame, key: Column, name: str = "rank", by: Sequence[str] = (), tie: str | None = None, digits: int = 2) -> DataFrame:
+def hash_ranked(df: DataFrame, key: Column, name: str = "rank", by: Sequence[str] = (), tie: str | None = None, digits: int = 3) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in the order of a hex hash (ties by the column ``tie``), within each ``by`` group.
 
-    Blocks are the hash's first digits, so a group that a third of the rows share is numbered by many tasks.
+    Blocks are the hash's first digits, 4,096 of them by default, so a group that a third of the rows share is numbered by as many
+    tasks. Only groups that are small by nature ask for fewer.
     """
     hashed = df.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, digits))
     keys = [*by, "_block"]

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.hashing import hex_key
+from corpusloom.operators.order import hash_ranked
 from corpusloom.plans.scratch import Scratch
 
 #: Queries sent to the executors at a time.
@@ -106,20 +109,38 @@ def gram(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
+def effective_number(moments: np.ndarray, renormalize: bool = True) -> float:
+    """Exponential of the entropy of a mean outer product's eigenvalues, which are first scaled to a sum of one (all of them, also
+    those too small to count)."""
+    spectrum = np.linalg.eigvalsh(moments)
+    if renormalize and spectrum.sum() > 0:
+        spectrum = spectrum / spectrum.sum()
+    shares = spectrum[spectrum > 1e-12]
+    return float(np.exp(-np.dot(shares, np.log(shares))))
+
+
 def vendi(df: DataFrame, vector: str = "embedding", renormalize: bool = True) -> tuple[float, int]:
-    """Exponential of the entropy of the eigenvalues of the vectors' mean outer product, and the number of vectors. Only the square of
-    the dimension reaches the driver."""
+    """``effective_number`` of all vectors, and how many they are. Only the square of the dimension reaches the driver."""
     n = df.count()
-    rows = gram(df, vector).collect()
-    size = 1 + max((r["j"] for r in rows), default=0)
-    m = np.zeros((size, size))
-    for r in rows:
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["value"] / max(n, 1)
-    values = np.linalg.eigvalsh(m)
-    values = values[values > 1e-12]
-    if renormalize and len(values):
-        values = values / values.sum()
-    return float(np.exp(-(values * np.log(values)).sum())), n
+    sums = gram(df, vector).toPandas()
+    moments = np.zeros((1 + int(sums["j"].max()),) * 2) if len(sums) else np.zeros((1, 1))
+    moments[sums["i"], sums["j"]] = moments[sums["j"], sums["i"]] = sums["value"] / max(n, 1)
+    return effective_number(moments, renormalize), n
+
+
+def vendi_of_subsets(df: DataFrame, group: str, size: int, repeats: int, seed: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``group, mean, deviation, repeats``: ``effective_number`` over random subsets of ``size`` vectors, drawn ``repeats`` times by hash
+    order; groups with fewer vectors have no row. Only ids are ranked; a subset's vectors are one task, and as many as its size."""
+    ids = df.select(group, id_col, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("draw"))
+    drawn = hash_ranked(ids, hex_key(seed, "draw", id_col), "_rank", by=[group, "draw"], tie=id_col).where(F.col("_rank") < size)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf[vector].tolist(), dtype=np.float64)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "value": [effective_number(m.T @ m / len(m))], "n": [len(m)]})
+
+    kind = df.schema[group].dataType.simpleString()
+    each = df.select(id_col, vector).join(drawn.drop("_rank"), id_col).groupBy(group, "draw").applyInPandas(score, f"{group} {kind}, value double, n long")
+    return each.where(F.col("n") == size).groupBy(group).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.count("*").alias("repeats"))
 
 
 def coverage(keys: DataFrame, hits: DataFrame, at_least: float) -> DataFrame:

@@ -299,16 +299,42 @@ def excess_controller(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step <= 1000 THEN ((step - 100) / 900.0::DOUBLE) * 0.1 + (1 - (step - 100) / 900.0::DOUBLE) ELSE 0.1 END, 6) AS linear,
   round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE greatest(pow(100.0::DOUBLE, 0.5) / pow(step::DOUBLE, 0.5), 0.05) END, 6) AS inverse_sqrt,
-  round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step <= 1000 THEN 0.1 + 0.9::DOUBLE * 0.5 * (cos(pi() * ((step - 100) / 900.0::DOUBLE)) + 1) ELSE 0.1 END, 6) AS cosine,
-  round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step <= 800 THEN 1.0 ELSE 0.1 + 0.9::DOUBLE * (1 - least((step - 800) / 200.0::DOUBLE, 1.0)) END, 6) AS stable_decay
-FROM range(1, 1201) t(step)
+  round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step <= 1000 THEN 0.1 + 0.9::DOUBLE * 0.5 * ((CASE WHEN (step // 500) % 2 = 0 THEN 1 ELSE -1 END) * cos(pi() * pow((step - 100) / 900.0::DOUBLE, 1.5::DOUBLE) / 0.5) + 1) ELSE 0.1 END, 6) AS cosine,
+  round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step <= edge - floor(edge * 0.2::DOUBLE) THEN 1.0
+    ELSE 1 / ((step - (edge - floor(edge * 0.2::DOUBLE))) / floor(edge * 0.2::DOUBLE) * 10 + (1 - (step - (edge - floor(edge * 0.2::DOUBLE))) / floor(edge * 0.2::DOUBLE))) END, 6) AS stable_decay,
+  round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE WHEN step < 800 THEN 1.0 ELSE greatest(1 - sqrt(least((step - 800) / 200.0::DOUBLE, 1.0)), 0) END, 6) + 0.0 AS stable_root_decay
+FROM (SELECT step, CASE WHEN step = 1000 THEN 1000 ELSE (step // 500 + 1) * 500 END AS edge FROM range(1, 1201) t(step))
 """)
 def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedules as functions of the step."""
     steps = spark.range(1, 1201).withColumnRenamed("id", "step")
     s = F.col("step")
-    made = {"linear": schedules.linear(s, 100, 1000, 0.1), "inverse_sqrt": schedules.inverse_sqrt(s, 100, 0.5, 0.05), "cosine": schedules.cosine(s, 100, 1000, 0.1), "stable_decay": schedules.stable_decay(s, 100, 1000, 0.2, 0.1)}
-    return steps.select("step", *[F.round(c, 6).alias(n) for n, c in made.items()])
+    made = {
+        "linear": schedules.linear(s, 100, 1000, 0.1),
+        "inverse_sqrt": schedules.inverse_sqrt(s, 100, 0.5, 0.05),
+        "cosine": schedules.cosine(s, 100, 1000, 0.1, 0.5, 1.5),
+        "stable_decay": schedules.stable_decay(s, 100, 1000, 0.2, 0.1, 0.5),
+        "stable_root_decay": schedules.stable_root_decay(s, 100, 1000, 0.2),
+    }
+    return steps.select("step", *[(F.round(c, 6) + F.lit(0.0)).alias(n) for n, c in made.items()])
+
+
+@query(f"""
+WITH RECURSIVE {_E}, w AS (SELECT event_type AS source, event_id // 1000 AS w, sum((value - 20) * (1 + event_id % 5)) / sum(1 + event_id % 5) AS excess FROM e WHERE NOT (event_type = 'view' AND event_id // 1000 = 1) GROUP BY ALL),
+n AS (SELECT count(DISTINCT source) AS n, max(w) AS last FROM w), g AS (SELECT source, unnest(range(0, last + 1)) AS w FROM (SELECT DISTINCT source FROM w), n), x AS (SELECT g.source, g.w, excess FROM g LEFT JOIN w ON w.source = g.source AND w.w = g.w),
+f AS (SELECT source, w, excess AS ema FROM x WHERE w = 0 UNION ALL SELECT x.source, x.w, CASE WHEN x.excess IS NULL THEN f.ema WHEN f.ema IS NULL THEN x.excess ELSE 0.7::DOUBLE * f.ema + 0.3::DOUBLE * x.excess END FROM f JOIN x ON x.source = f.source AND x.w = f.w + 1),
+c AS (SELECT source, w, coalesce(ema, 0) AS ema, coalesce(ema, 0) - sum(coalesce(ema, 0) / n) OVER (PARTITION BY w) AS c, n FROM f, n), z AS (SELECT *, c / sqrt(greatest(sum(c * c / n) OVER (PARTITION BY w), 0.000001::DOUBLE * 0.000001::DOUBLE)) AS s FROM c),
+r AS (SELECT source, w, ema, least(greatest(exp(0.5::DOUBLE * s) / n, 0.5::DOUBLE / n), 2.0::DOUBLE / n) AS r FROM z)
+SELECT source, w AS "window", round(ema, 6) AS ema, round(r / sum(r) OVER (PARTITION BY w), 6) AS weight FROM r
+""")
+def excess_reweighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-weighted excess by source and window, its moving average (held where a source has no data), centred and scaled to
+    unit spread, and base weights multiplied by its exponential within bounds."""
+    rows = log(spark, sf_dir).where("not (event_type = 'view' and event_id div 1000 = 1)")
+    tokens = 1 + F.col("event_id") % 5
+    w = rows.groupBy(F.col("event_type").alias("source"), F.floor(F.col("event_id") / 1000).alias("window")).agg((F.sum((F.col("value") - 20) * tokens) / F.sum(tokens)).alias("excess"))
+    out = experiments.reweighted(w, "source", "window", "excess", 0.7, 0.5, 0.5, 2.0, zscore=True)
+    return out.select("source", "window", F.round("ema", 6).alias("ema"), F.round("weight", 6).alias("weight"))
 
 
 @query(f"""

@@ -178,14 +178,14 @@ _DRAW = h32_sql("'31|' || rep || '|' || c_mktsegment || '|' || r")
 
 @query(f"""
 WITH i AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS r, c_acctbal FROM customer), n AS (SELECT c_mktsegment, count(*) AS n FROM i GROUP BY 1),
-d AS (SELECT c_mktsegment, rep, r FROM i, range(0, 50) t(rep)), k AS (SELECT d.c_mktsegment, rep, {_DRAW} % n.n AS r FROM d JOIN n USING (c_mktsegment)),
+d AS (SELECT c_mktsegment, rep, r FROM i, range(0, 2000) t(rep)), k AS (SELECT d.c_mktsegment, rep, {_DRAW} % n.n AS r FROM d JOIN n USING (c_mktsegment)),
 m AS (SELECT rep, k.c_mktsegment, avg(c_acctbal) AS m FROM k JOIN i ON i.c_mktsegment = k.c_mktsegment AND i.r = k.r GROUP BY ALL), a AS (SELECT rep, avg(m) AS macro FROM m GROUP BY rep)
 SELECT count(*) AS reps, round(avg(macro), 5) AS mean, round(stddev_pop(macro), 5) AS se FROM a
 """)
 def bootstrap_se(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard error of a macro mean by resampling within groups."""
     rows = numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey", "r", by=["c_mktsegment"])
-    return _rounded(statistics.bootstrap(rows, "r", "c_acctbal", 50, 31, ["c_mktsegment"]), "mean", "se", digits=5)
+    return _rounded(statistics.bootstrap(rows, "r", "c_acctbal", 2000, 31, ["c_mktsegment"]), "mean", "se", digits=5)
 
 
 @query("""
@@ -221,12 +221,12 @@ def saturating_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_size, CAST(6 * p_partkey * 1000 AS BIGINT) AS compute, round(p_partkey * 1000 / (20.0::DOUBLE * p_size), 6) AS multiple, round(p_retailprice / 10, 0) AS half_even FROM part WHERE round(p_retailprice / 10, 3) - floor(p_retailprice / 10) <> 0.5
+SELECT p_size, CAST(6 * p_partkey * 1000 AS BIGINT) AS compute, round(p_partkey * 1000 / (20.0::DOUBLE * p_size), 6) AS multiple, round_even(round(p_retailprice, 2) / 10, 0) AS half_even FROM part
 """)
 def derived_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compute, multiples and rounded values."""
-    p = table(spark, sf_dir, "part").where("round(p_retailprice / 10, 3) - floor(p_retailprice / 10) <> 0.5")
-    return p.select("p_size", (F.col("p_partkey") * 6000).alias("compute"), F.round(F.col("p_partkey") * 1000 / (F.lit(20.0) * F.col("p_size")), 6).alias("multiple"), F.bround(F.col("p_retailprice") / 10, 0).alias("half_even"))
+    """Compute, multiples and values rounded with ties to even."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_size", (F.col("p_partkey") * 6000).alias("compute"), F.round(F.col("p_partkey") * 1000 / (F.lit(20.0) * F.col("p_size")), 6).alias("multiple"), F.bround(F.round("p_retailprice", 2) / 10, 0).alias("half_even"))
 
 
 @query("""

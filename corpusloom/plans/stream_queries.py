@@ -58,3 +58,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         out = _run(state.sessions(_events(spark, sf_dir), "ts", "6 hours", "1 hour", "user_id"), scratch)
         return out.select("user_id", seconds("start").alias("start"), "n")
+
+
+@query("SELECT event_type AS source, CAST(1 AS BIGINT) AS batches, round(avg(value), 6) AS ema FROM events GROUP BY event_type")
+def stream_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving average of every source's batch means, kept in the stream's state (a table of one file is one batch)."""
+    with Scratch(spark) as scratch:
+        path = scratch.path("updates")
+        means = state.excess_controller(_events(spark, sf_dir), "event_type", "value", 0.3)
+        state.logged_updates(means, path, scratch.path("state")).awaitTermination()
+        last = spark.read.parquet(path).groupBy("source").agg(F.max(F.struct("batches", "ema")).alias("x"))
+        return scratch.keep(last.select("source", "x.batches", F.round("x.ema", 6).alias("ema")))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 0.5::DOUBLE WHEN 'click' THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM events")
+def stream_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: every batch joined to the source weights as they are when it starts."""
+    with Scratch(spark) as scratch:
+        weights, out = scratch.path("weights"), scratch.path("out")
+        spark.createDataFrame([("view", 0.5), ("click", 2.0)], "event_type string, weight double").write.parquet(weights)
+        rows = _source(spark, sf_dir, "events").select("event_id", "event_type")
+        state.with_refreshed_weights(rows, weights, "event_type", out, scratch.path("state")).awaitTermination()
+        return scratch.keep(spark.read.parquet(out).select("event_id", "weight"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import text, tokenizers
 from corpusloom.functions.hashing import hex_key
 from corpusloom.operators import dedup, tokens
 from corpusloom.operators.order import hash_ranked, running_sum
 from corpusloom.plans.corpus import documents
 from corpusloom.plans.registry import h32_sql, query, table
+from corpusloom.plans.scratch import Scratch
 
 LENGTH = 4096
 
@@ -141,12 +142,30 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.chunks(sized, 511).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "chunk_start", "chunk_tokens")
 
 
-@query("SELECT doc_id, CAST(list_sum(list_transform(range(0, 8), lambda i: CASE WHEN i + 1 < doc_id % 6 THEN -100 ELSE i END)) AS BIGINT) AS total FROM documents")
+_TOKENS = "[256] || list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT) || [257]"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, ({_TOKENS})[2:] AS labels FROM documents)
+SELECT doc_id, CAST(least(greatest(doc_id % 6 * 10 - 1, 0), len(labels)) AS BIGINT) AS masked, CAST(list_sum(list_transform(labels, lambda x, i: CASE WHEN i < doc_id % 6 * 10 THEN -100 ELSE x END)) AS BIGINT) AS total FROM t
+""")
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels within a synthetic prefix are ignored."""
-    labels = F.sequence(F.lit(0), F.lit(7))
-    masked = tokens.masked_labels(labels, (F.col("doc_id") % 6).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", F.aggregate(masked, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    """Labels of every text's tokens, those within a synthetic prefix of 0 to 50 tokens ignored."""
+    tokenized = documents(spark, sf_dir).select("doc_id", text.byte_tokens(F.col("text")).alias("t"))
+    labels = tokenized.select("doc_id", tokens.masked_labels(F.slice("t", 2, F.size("t") - 1), (F.col("doc_id") % 6 * 10).cast("int")).alias("labels"))
+    return labels.select("doc_id", F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"), F.aggregate("labels", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query(f"""
+WITH {STREAM}, x AS (SELECT start, s.n, {_TOKENS} AS t FROM s JOIN documents d ON d.doc_id = s.row_id), p AS (SELECT start + unnest(range(0, n)) AS p, unnest(t) AS token FROM x), e AS (SELECT max(p) + 1 AS size FROM p),
+f AS (SELECT (p - view) // {LENGTH} AS seq, view, sum(token) AS total, count(*) AS n FROM p, (SELECT unnest([0, 1, 2]) AS view) WHERE p >= view GROUP BY ALL)
+SELECT seq, CAST(view AS BIGINT) AS view, CAST(total AS BIGINT) AS total FROM f, e WHERE n = {LENGTH} AND seq * {LENGTH} + {LENGTH} + 2 <= size
+""")
+def packed_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three views of every sequence, each shifted by one more token."""
+    docs = stream(spark, sf_dir).withColumn("tokens", text.byte_tokens(F.col("text"))).drop("text", "source")
+    each = tokens.packed_views(docs, LENGTH, 3).select("seq", F.posexplode("views").alias("view", "t"))
+    return each.select("seq", F.col("view").cast("long").alias("view"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query("SELECT doc_id, doc_id // 64 * 64 + row_number() OVER (PARTITION BY doc_id // 64 ORDER BY md5('23|' || doc_id), doc_id) - 1 AS position FROM documents")
@@ -188,19 +207,26 @@ def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("width", "lr", "bs", "seed", name.alias("name"), F.floor(F.lit(20_000_000) / (F.col("bs") * 256)).cast("long").alias("steps"), ((F.col("bs") == 64) & (F.col("seed") == 0)).alias("main"))
 
 
-@query()
-def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source, documents in length order put into batches of a token budget, in blocks of 4,096 documents."""
+def _longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", F.octet_length("text").cast("long").alias("n"))
     order = F.concat(F.lpad((F.lit(10**12) - F.col("n")).cast("string"), 13, "0"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
-    ranked = hash_ranked(sized, order, "k", by=["source"], digits=11).withColumn("block", F.floor(F.col("k") / 4096))
+    return hash_ranked(sized, order, "k", by=["source"], digits=11)
 
-    def fill(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values("k")
-        pdf["batch"] = tokens.next_fit(pdf["n"].tolist(), 32_768)
-        return pdf[["doc_id", "source", "block", "batch"]]
 
-    return ranked.groupBy("source", "block").applyInPandas(fill, "doc_id long, source string, block long, batch long")
+@query()
+def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, documents in length order put into batches of a token budget, as one pass over them would."""
+    with Scratch(spark) as scratch:
+        made = tokens.batches(_longest_first(spark, sf_dir), "source", "n", 32_768, scratch)
+        return scratch.keep(made.select("doc_id", "source", "k", "n", "batch"))
+
+
+@query()
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, documents from the longest on in batches whose rows, padded to the first, are within a token budget."""
+    with Scratch(spark) as scratch:
+        made = tokens.batches(_longest_first(spark, sf_dir), "source", "n", 32_768, scratch, padded=True)
+        return scratch.keep(made.select("doc_id", "source", "k", "n", "batch"))
 
 
 @query()
@@ -251,3 +277,15 @@ def turn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of a seeded order; a range partitioning on them is the external shuffle."""
     return documents(spark, sf_dir).select("doc_id", hex_key(29, "doc_id").alias("key"))
+
+
+@query()
+def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions, tokenizers: token counts of every text by a SentencePiece model and by a tokenizer file."""
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    pieces = tokenizers.tokenized(docs, "pieces", public_tokenizers.path("piece_bpe_32k.model"), begin=True, end=True)
+    library = tokenizers.tokenized(docs, "library", public_tokenizers.path("byte_bpe_50k.json"))
+    both = pieces.select(F.col("id").alias("doc_id"), F.size("tokens").alias("pieces")).join(library.select(F.col("id").alias("doc_id"), F.size("tokens").alias("tokens")), "doc_id")
+    return both.select("doc_id", F.col("pieces").cast("long").alias("pieces"), F.col("tokens").cast("long").alias("tokens"))

@@ -72,7 +72,7 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vendi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effective number of distinct vectors, overall and by label."""
+    """Effective number of distinct vectors, overall and by label."""
     vecs = table(spark, sf_dir, "embeddings")
     rows = [("all", *vectors.vendi(vecs))]
     for label in [r[0] for r in vecs.select("label").distinct().orderBy("label").collect()]:  # labels are few by nature
@@ -80,6 +80,16 @@ def vendi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "scope string, vendi double, n long")
 
 
+@query()
+def vendi_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: mean and deviation of the effective number over five random subsets of 64 vectors of every label, and of all together."""
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("scope"), "embedding")
+    both = vecs.withColumn("scope", F.explode(F.array("scope", F.lit("all"))))
+    # ids are unique within a scope only, so they carry it
+    both = both.withColumn("vec_id", F.concat_ws("/", "scope", "vec_id"))
+    return vectors.vendi_of_subsets(both, "scope", 64, 5, 41)
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) + 0.0 AS first FROM embeddings")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2: lengths, and vectors at length one."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +12,33 @@ from pyspark.sql import functions as F
 from corpusloom.operators.layout import round_robin, split_validation
 
 
-def write_round_robin(df: DataFrame, path: str, row: str, chunks: int, validation: int = 0, columns: list[str] | None = None) -> None:
+def write_round_robin(df: DataFrame, path: str, row: str, chunks: int, validation: int = 0, columns: list[str] | None = None, compression: str = "none") -> None:
     """JSON lines: the first ``validation`` rows to ``split=val``, the others dealt to ``split=train/chunk=k`` in row order."""
     split, chunk = split_validation(F.col(row), validation, chunks)
     rows = df.withColumns({"split": split, "chunk": F.coalesce(chunk, F.lit(-1))})
     keep = [*(columns or df.columns), "split", "chunk"]
-    rows.repartition("split", "chunk").sortWithinPartitions("split", "chunk", row).select(*keep).write.partitionBy("split", "chunk").json(path)
-
-
-def write_parquet_shards(df: DataFrame, path: str, rows_per_file: int = 125_000) -> None:
-    """zstd Parquet with a bounded number of rows a file."""
-    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    rows.repartition("split", "chunk").sortWithinPartitions("split", "chunk", row).select(*keep).write.partitionBy("split", "chunk").option("compression", compression).json(path)
+
+
+def write_parquet_shards(df: DataFrame, path: str, rows_per_file: int = 125_000, rows_per_group: int = 10_000) -> None:
+    """zstd Parquet with a bounded number of rows a file and a row group."""
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).option("parquet.block.row.count.limit", rows_per_group).parquet(path)
+
+
+def publish(df: DataFrame, path: str) -> bool:
+    """Writes Parquet beside ``path`` and renames it when it is complete, so that readers never see a part; False if there is a result
+    under that name already, which stays."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    df.write.parquet(draft.toString())
+    if not files.exists(target) and files.rename(draft, target):
+        return True
+    files.delete(draft, True)
+    return False
 
 
 def write_token_stream(stream: DataFrame, path: str, start: str = "start") -> None:

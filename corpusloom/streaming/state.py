@@ -75,3 +75,12 @@ def with_refreshed_weights(stream: DataFrame, weights_path: str, source: str, ou
         weighted.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def logged_updates(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
+    """A sink for streams that update rows: every batch's updates in a folder of its own, written again if the batch runs again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
