@@ -74,7 +74,7 @@ class Pieces(Tokens):
         return self.model.decode(ids)
 
     def offsets(self, text: str) -> list[int]:
-        return [p.begin for p in self.model.encode_as_immutable_proto(text).pieces]
+        return [a for a, _ in self.model.encode_as_offset_mapping(text)["offsets"]]
 
 
 class Ranks(Tokens):

@@ -1,7 +1,7 @@
 """MinHash with bands, for candidates against a corpus.
 
 A word is 32 bits of its MD5, a shingle the scrambled weighted sum of its words, and a signature the smallest values of the shingles
-under odd multiples modulo 2^32, so that all of it is wrapping 32-bit arithmetic that SQL can repeat. Texts of a batch lie side by side:
+under odd multiples, scrambled again, modulo 2^32, so that all of it is wrapping 32-bit arithmetic that SQL can repeat. Texts of a batch lie side by side:
 a worker looks every distinct word up once, and takes minima over fixed runs of shingles, wherever texts begin and end.
 """
 
@@ -24,7 +24,7 @@ HASHES, ROWS, WIDTH = 128, 4, 5
 #: Share of equal signature entries from which two texts count as near-duplicates.
 AGREEMENT = 0.7
 #: Shingles whose values are held at once, and words that a worker remembers.
-RUN, REMEMBERED = 8192, 500_000
+RUN, REMEMBERED = 1024, 500_000
 _WORD = re.compile(r"\w+")
 
 
@@ -80,7 +80,8 @@ class Signer:
         for first in range(0, len(value), RUN):
             part = text[first : first + RUN]
             begins = np.flatnonzero(np.diff(part, prepend=-1))
-            least = np.minimum.reduceat(self.a * value[None, first : first + RUN] + self.b, begins, axis=1)
+            moved = self.a * value[None, first : first + RUN] + self.b
+            least = np.minimum.reduceat((moved ^ (moved >> np.uint32(16))) * np.uint32(weights()[1]), begins, axis=1)
             best[part[begins]] = np.minimum(best[part[begins]], least.T)
         return best
 

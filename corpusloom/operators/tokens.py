@@ -163,7 +163,7 @@ class _Fill:
         else:
             first = self.sums[:-1]
             self.after = np.maximum(np.searchsorted(self.sums, first, side="right"), np.searchsorted(self.sums, first + capacity, side="right") - 1)
-            self.candidates = min(n, int(np.searchsorted(self.sums, capacity, side="left")))
+            self.candidates = min(n, int(np.searchsorted(self.sums, capacity, side="right")) + 1)
         self.padded, self.capacity, self.n = padded, capacity, n
 
     def exits(self) -> tuple[list[int], list[int]]:
@@ -198,7 +198,7 @@ def batches(ranked: DataFrame, by: str, size: str, capacity: int, scratch: Scrat
     def summarised(pdf: pd.DataFrame) -> pd.DataFrame:
         fill = _Fill(pdf.sort_values("k")[size].to_numpy(np.int64), capacity, padded)
         count, state = fill.exits()
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "_block": [pdf["_block"].iloc[0]], "n": [fill.n], "total": [int(fill.sums[-1])], "sums": [fill.sums[1 : fill.candidates + 1].tolist()], "count": [count], "state": [state]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "_block": [pdf["_block"].iloc[0]], "n": [fill.n], "total": [int(fill.sums[-1])], "empty": [min(int(fill.after[0]), fill.n)], "sums": [fill.sums[1 : fill.candidates + 1].tolist()], "count": [count], "state": [state]})
 
     def followed(pdf: pd.DataFrame) -> pd.DataFrame:
         entries, state, batch = [], None, -1
@@ -207,6 +207,8 @@ def batches(ranked: DataFrame, by: str, size: str, capacity: int, scratch: Scrat
                 first = 0
             elif padded:
                 first = min(state, row.n)
+            elif not state:  # nothing but rows without size is in the open batch
+                first = row.empty
             else:
                 first = int(np.searchsorted(row.sums, capacity - state, side="right")) if len(row.sums) else 0
                 first = row.n if first >= len(row.sums) else first
@@ -218,7 +220,7 @@ def batches(ranked: DataFrame, by: str, size: str, capacity: int, scratch: Scrat
         return pd.DataFrame(entries, columns=[by, "_block", "first", "open"])
 
     kind = ranked.schema[by].dataType.simpleString()
-    summary = rows.select(by, "_block", "k", size).groupBy(by, "_block").applyInPandas(summarised, f"{by} {kind}, _block long, n long, total long, sums array<long>, count array<long>, state array<long>")
+    summary = rows.select(by, "_block", "k", size).groupBy(by, "_block").applyInPandas(summarised, f"{by} {kind}, _block long, n long, total long, empty long, sums array<long>, count array<long>, state array<long>")
     entries = scratch.table(scratch.table(summary, "blocks").groupBy(by).applyInPandas(followed, f"{by} {kind}, _block long, first long, open long"), "entries")
 
     def placed(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -384,7 +384,7 @@ s AS (SELECT doc_id, h, least(len(h), 5) AS k FROM w WHERE len(h) > 0),
 z AS (SELECT doc_id, list_transform(range(1, len(h) - k + 2), lambda i: CAST(list_sum(list_transform(list_zip(h[i:i + k - 1], ({_TIMES}::BIGINT[])[1:k]), lambda p: (p[1] * p[2]) % 4294967296)) % 4294967296 AS BIGINT)) AS x FROM s),
 y AS (SELECT doc_id, list_transform(x, lambda v: (xor(v, v >> 15) * {_SCRAMBLE}) % 4294967296) AS x FROM z),
 sh AS (SELECT doc_id, list_distinct(list_transform(x, lambda v: xor(v, v >> 13))) AS x FROM y),
-sig AS (SELECT doc_id, list_transform(list_zip({_A}::BIGINT[], {_B}::BIGINT[]), lambda p: list_min(list_transform(x, lambda v: (p[1] * v + p[2]) % 4294967296))) AS signature FROM sh)
+sig AS (SELECT doc_id, list_transform(list_zip({_A}::BIGINT[], {_B}::BIGINT[]), lambda p: list_min(list_transform(list_transform(x, lambda v: (p[1] * v + p[2]) % 4294967296), lambda u: (xor(u, u >> 16) * {_SCRAMBLE}) % 4294967296))) AS signature FROM sh)
 """
 
 

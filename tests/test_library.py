@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import catalog
-from corpusloom.functions import arrays, text
-from corpusloom.operators import align, dedup, experiments, layout, scoring, statistics, tokens, vectors
+from corpusloom.functions import arrays, text, tokenizers
+from corpusloom.operators import align, dedup, experiments, layout, minhash, scoring, statistics, tokens, vectors
 from corpusloom.operators.order import hash_ranked, interval_join, numbered, running_sum, value_ranked
 from corpusloom.plans.scratch import Scratch
-from corpusloom.sources import jsonl, sinks
+from corpusloom.sources import columnar, jsonl, sinks
 from corpusloom.streaming import state
 
 SCHEMA = T.StructType().add("text", "string").add("content", "string").add("original_text", "string")
@@ -273,3 +275,223 @@ def test_streams(spark, tmp_path):
     state.with_refreshed_weights(state.read_files(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "w"), "source", str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 30 and {(r["source"], r["weight"]) for r in back.collect()} == {(0, 2.0), (1, 3.0), (2, 0.0)}
+
+
+def test_minhash_finds_near_duplicates(spark):
+    """Signatures against plain Python, estimates and recall against true Jaccard similarities."""
+    rng = random.Random(7)
+    texts = {}
+    for i in range(60):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        for j in range(3):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 5, 10]) * len(words) // 200):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+            texts[i * 10 + j] = " ".join(words)
+    texts |= {1000: "", 1001: None, 1002: "One two!", 1003: "one TWO", 1004: "a b c d e"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    with Scratch(spark) as scratch:
+        signed = scratch.table(minhash.signatures(docs), "signed")
+        got = {r["doc_id"]: r["signature"] for r in signed.collect()}
+        pairs = {(r["a"], r["b"]): r["equal"] for r in minhash.class_pairs(signed, scratch).collect()}
+        flags = {r["doc_id"]: r["near"] for r in minhash.near_flags(signed.where("doc_id % 10 = 0"), signed.where("doc_id % 10 > 0"), scratch).collect()}
+    assert set(got) == {d for d, t in texts.items() if t} and got[1002] == got[1003]
+    times, scramble = minhash.weights()
+
+    def plain(text):
+        numbers = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in text.lower().replace("!", "").split()]
+        k = min(5, len(numbers))
+        values = []
+        for i in range(len(numbers) - k + 1):
+            v = sum(n * m for n, m in zip(numbers[i : i + k], times, strict=False)) % 2**32
+            v = ((v ^ (v >> 15)) * scramble) % 2**32
+            values.append(v ^ (v >> 13))
+        moved = lambda u: ((u ^ (u >> 16)) * scramble) % 2**32
+        return [min(moved((a * v + b) % 2**32) for v in values) for a, b in zip(*minhash.parameters(), strict=True)]
+
+    assert all(got[d] == plain(texts[d]) for d in (0, 11, 22, 1002, 1004))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in texts.items() if t)}
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b < 1000 and a // 10 == b // 10}
+    errors = [sum(x == y for x, y in zip(got[a], got[b], strict=True)) / 128 - j for (a, b), j in jaccard.items()]
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+    near = [p for p, j in jaccard.items() if 0.78 <= j < 1]
+    first = {d: min(e for e in got if got[e] == got[d]) for d in got}
+    assert len(near) > 20 and np.mean([(min(first[a], first[b]), max(first[a], first[b])) in pairs or first[a] == first[b] for a, b in near]) > 0.95
+    assert all(n >= 0.7 * 128 for n in pairs.values()) and not [p for p in pairs if p[0] // 10 != p[1] // 10]
+    assert all(flags[a] for a, _ in near if a % 10 == 0)
+
+
+def test_greedy_keep_by_keys_equals_the_fold(spark):
+    rng = random.Random(8)
+    rows = [(n, rng.choice([None, *range(40)]), rng.choice([None, *range(60)]), rng.choice([None, *range(50)])) for n in range(120)]
+    edges = {tuple(sorted(rng.sample(range(50), 2))) for _ in range(25)}
+    kept: dict[int, tuple] = {}
+    for n, a, b, g in rows:
+        shares = any((a is not None and a == x) or (b is not None and b == y) or (g is not None and z is not None and (g == z or tuple(sorted((g, z))) in edges)) for x, y, z in kept.values())
+        if not shares:
+            kept[n] = (a, b, g)
+    with Scratch(spark) as scratch:
+        nodes = spark.createDataFrame(rows, "node long, a long, b long, g long")
+        got = dedup.greedy_keep_by_keys(nodes, ["a", "b"], "g", spark.createDataFrame(sorted(edges), "a long, b long"), scratch).collect()
+        assert dedup.greedy_keep_by_keys(nodes.limit(0), ["a", "b"], "g", nodes.limit(0).select("a", "b"), scratch).count() == 0
+    assert len(got) == 120 and {r["node"] for r in got if r["kept"]} == set(kept)
+
+
+@pytest.mark.parametrize("padded", [False, True])
+def test_batches_equal_one_pass(spark, padded):
+    rng = random.Random(9)
+    groups = {"a": [rng.randint(0, 30) for _ in range(300)], "b": [0] * 70 + [500, 0, 3], "c": [9], "d": [1] * 200, "e": [100, 400, 0, 0, 100]}
+    if padded:
+        groups = {g: sorted(sizes, reverse=True) for g, sizes in groups.items()}
+    rows = [(g, k, n) for g, sizes in groups.items() for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "g string, k long, n long").repartition(3)
+    with Scratch(spark) as scratch:
+        for block in (1, 7, 1000):
+            got = {(r["g"], r["k"]): r["batch"] for r in tokens.batches(df, "g", "n", 100, scratch, padded, block).collect()}
+            for g, sizes in groups.items():
+                if padded:
+                    want, at = [], 0
+                    while len(want) < len(sizes):
+                        want += [at] * max(100 // max(sizes[len(want)], 1), 1)
+                        at += 1
+                    want = want[: len(sizes)]
+                else:
+                    want = tokens.next_fit(sizes, 100)
+                assert [got[g, k] for k in range(len(sizes))] == want, (g, block)
+
+
+def test_shifted_views(spark):
+    df = spark.createDataFrame([(0, list(range(10)), 10, 0), (1, list(range(10, 23)), 13, 10)], "row_id long, tokens array<int>, n_tokens long, start long")
+    rows = tokens.packed_views(df, 5, 3).orderBy("seq").collect()
+    assert [r["views"] for r in rows] == [[list(range(5 * s + k, 5 * s + k + 5)) for k in range(3)] for s in range(4)]
+
+
+def test_exact_ratio_of_large_indices(spark):
+    big = 2**55 + 11
+    rows = tokens.interleaved(spark.range(big, big + 21), "id", 2, 7).orderBy("id").collect()
+    assert [(r["stream"], r["at"]) for r in rows] == [(2, i * 2 // 7) if (i + 1) * 2 // 7 > i * 2 // 7 else (1, i - i * 2 // 7) for i in range(big, big + 21)]
+
+
+def test_markup_equals_pythons_rules(spark):
+    pieces = ["# ", "   ### ", "#x", "**b**", "__u__", "*i*", "* i*", "**", "*", "- ", "• ", "1. ", "1.2) ", "12.3.4. ", "```py\n", "```\n", "\n", " \n", "word ", "é ", "\t", " ", "٣. ", "a*b*c"]
+    rng = random.Random(10)
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(500)]
+
+    def plain(t):
+        for pattern, kept in text.MARKUP:
+            t = re.sub(pattern, kept.replace("$1", r"\1"), t)
+        return t
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.stripped_markup(F.col("t")).alias("p")).collect()
+    assert [r["p"] for r in sorted(got)] == [plain(t) for t in texts]
+
+
+def test_tokenizers(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  world, 12½ é 中文 😀", "", "a\nb\t c"]
+    made = {"bytes": tokenizers.built("bytes"), "pieces": tokenizers.built("pieces", public.path("piece_bpe_32k.model")), "library": tokenizers.built("library", public.path("byte_bpe_50k.json"))}
+    made["ranks"] = tokenizers.built("ranks", public.path("byte_bpe_50k.tiktoken"), r"\s+|\S+")
+    for t in texts:
+        for name, tokenizer in made.items():
+            ids, offsets = tokenizer.encode(t), tokenizer.offsets(t)
+            assert len(offsets) == len(ids) and offsets == sorted(offsets) and all(0 <= x <= len(t) for x in offsets)
+            if name != "pieces":
+                assert tokenizer.decode(ids) == t
+    assert made["bytes"].encode("é", True, True) == [256, 195, 169, 257] and made["bytes"].decode([256, 195, 169, 257]) == "é"
+    assert made["pieces"].encode(texts[0]) == sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model")).encode(texts[0])
+    assert made["library"].encode(texts[0]) == Tokenizer.from_file(public.path("byte_bpe_50k.json")).encode(texts[0], add_special_tokens=False).ids
+    long = "x" * 60_000 + " " * 60_000 + "y z " * 110_000
+    assert "".join(made["ranks"].parts(long)) == long and max(map(len, made["ranks"].parts(long))) <= tokenizers.MOST_CHARS
+    assert made["ranks"].decode(made["ranks"].encode(long)) == long
+    assert tokenizers.built("given").encode("5 6") == [5, 6]
+    with pytest.raises(ValueError):
+        tokenizers.built("other")
+    df = spark.createDataFrame([(1, "aé"), (2, None)], "doc_id long, text string")
+    assert {r["id"]: r["tokens"] for r in tokenizers.tokenized(df, "bytes", begin=True).collect()} == {1: [256, 97, 195, 169], 2: [256]}
+
+
+def test_columns_and_rows(spark):
+    df = spark.createDataFrame([(1, ("x", (2, "y z"))), (2, ("q", None))], "id long, m struct<a: string, n: struct<b: long, `c d`: string>>")
+    flat = columnar.flattened(df)
+    assert flat.columns == ["id", "m_a", "m_n_b", "m_n_c d"] and [tuple(r) for r in flat.orderBy("id").collect()] == [(1, "x", 2, "y z"), (2, "q", None, None)]
+    assert [r["id"] for r in columnar.taken(flat, spark.createDataFrame([(2,), (2,), (9,)], "id long"), "id").collect()] == [2]
+
+
+def test_publishing_and_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "p")
+    assert sinks.publish(spark.range(5), path) and not sinks.publish(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 5 and [x.name for x in tmp_path.iterdir()] == ["p"]
+    sinks.write_parquet_shards(spark.range(2500).coalesce(1), str(tmp_path / "s"), 1000, 300)
+    files = sorted((tmp_path / "s").glob("*.parquet"))
+    assert sorted(pq.ParquetFile(f).metadata.num_rows for f in files) == [500, 1000, 1000]
+    assert all(pq.ParquetFile(f).metadata.row_group(g).num_rows <= 300 for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups))
+
+
+def test_diversity_of_subsets(spark):
+    vecs = spark.createDataFrame([(i, "even" if i % 2 else "one", [1.0, 0.0, 0.0] if not i % 2 else [float(k == i // 2 % 3) for k in range(3)]) for i in range(120)], "vec_id long, g string, embedding array<double>")
+    got = {r["g"]: r for r in vectors.vendi_of_subsets(vecs, "g", 30, 4, 1).collect()}
+    assert abs(got["one"]["mean"] - 1) < 1e-9 and got["one"]["deviation"] < 1e-9 and 2.7 < got["even"]["mean"] <= 3 and got["even"]["repeats"] == 4
+    assert vectors.vendi_of_subsets(vecs, "g", 61, 4, 1).count() == 0
+
+
+def test_reweighting_holds_and_scales(spark):
+    rows = [("a", 0, 1.0), ("b", 0, 3.0), ("a", 1, 2.0), ("a", 2, 2.0), ("b", 2, 0.0)]  # b has no data in window 1
+    got = {(r["s"], r["w"]): r for r in experiments.reweighted(spark.createDataFrame(rows, "s string, w long, x double"), "s", "w", "x", 0.5, 1.0, 0.5, 2.0, zscore=True).collect()}
+    assert [got["b", w]["ema"] for w in range(3)] == [3.0, 3.0, 1.5] and [got["a", w]["ema"] for w in range(3)] == [1.0, 1.5, 1.75]
+    for w in range(3):
+        c = (got["a", w]["ema"] - got["b", w]["ema"]) / 2
+        a, b = (min(max(0.5 * np.exp(np.sign(s * c)), 0.25), 1.0) for s in (1, -1))
+        assert abs(got["a", w]["weight"] - a / (a + b)) < 1e-9 and abs(got["a", w]["weight"] + got["b", w]["weight"] - 1) < 1e-9
+
+
+def test_streams_resume_from_their_checkpoint(spark, tmp_path):
+    """A stream that stops after its first files goes on with the rest, with its state and without repeats."""
+    schema = "id long, source string, value double"
+    folder, first, second = str(tmp_path / "in"), str(tmp_path / "c1"), str(tmp_path / "c2")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        read = lambda: state.read_files(spark, folder, spark.createDataFrame([], schema).schema, 1)
+        state.append_log(state.keep_first(read(), ["source"]), str(tmp_path / "kept"), first).awaitTermination()
+        state.logged_updates(state.excess_controller(read(), "source", "value", 0.5), str(tmp_path / "ema"), second).awaitTermination()
+        last = spark.read.parquet(str(tmp_path / "ema")).groupBy("source").agg(F.max(F.struct("batches", "ema")).alias("x"))
+        return sorted(r["source"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()), {r["source"]: tuple(r["x"]) for r in last.collect()}
+
+    arrive([(1, "a", 4.0), (2, "b", 1.0)])
+    assert run() == (["a", "b"], {"a": (1, 4.0), "b": (1, 1.0)})
+    arrive([(3, "a", 2.0), (4, "c", 5.0)])
+    assert run() == (["a", "b", "c"], {"a": (2, 3.0), "b": (1, 1.0), "c": (1, 5.0)})
+    assert run() == (["a", "b", "c"], {"a": (2, 3.0), "b": (1, 1.0), "c": (1, 5.0)})
+
+
+def test_scratch_on_a_cluster(spark, monkeypatch):
+    from corpusloom.plans import scratch as module
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="share"):
+        module.shared_folder(Session())
+    with Scratch(spark) as scratch:
+        kept = scratch.keep(spark.range(3))
+    assert kept.count() == 3
+    path = next(p for p in module._KEPT if scratch.folder in p)
+    module.release()
+    assert not module._KEPT and not __import__("os").path.exists(path.removeprefix("file://"))
