@@ -54,8 +54,8 @@ BEST = 3
 DEFAULT_CURVE = (2.0, -10.0)
 MOST_DOCS, MOST_BYTES = 6000, 64 << 20
 STRATA = 1024
-#: Grams and documents that are handled at once.
-SLICE, SOME_DOCS = 100_000, 500
+#: Grams, words and documents that are handled at once.
+SLICE, AT_ONCE, SOME_DOCS = 100_000, 10_000, 500
 REMEMBERED = 300_000
 _WORD = regex.compile(r"\p{L}+")
 _OPEN, _CLOSE = "\x02", "\x03"
@@ -239,7 +239,7 @@ class Scorer:
             self._forget()
             fresh = [*set().union(*split)]
         if fresh:
-            new = [self.model.llr(fresh[a : a + 50_000]) for a in range(0, len(fresh), 50_000)]
+            new = [self.model.llr(fresh[a : a + AT_ONCE]) for a in range(0, len(fresh), AT_ONCE)]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.values = np.concatenate([self.values, *new])
             self.ids = np.concatenate([self.ids, np.fromiter((self.model.ids.get(w, 0) for w in fresh), np.int64, len(fresh))])
@@ -391,20 +391,38 @@ def _counts(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 _NUMBERS = ("o", "t", "so", "st", "do", "dt")
+_GRAM, _PAIR, _LOWER = range(3)
+
+
+def _together(grams: DataFrame, pairs: DataFrame, lower: DataFrame) -> DataFrame:
+    """Rows of three kinds in the same few columns."""
+    no, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    numbers = [F.col(c).cast("double").alias(c) for c in _NUMBERS]
+    zeros = [F.lit(0.0).alias(c) for c in _NUMBERS[3:]]
+    rows = grams.select(F.lit(_GRAM).alias("kind"), F.col("gram").alias("name"), none.alias("word"), no.alias("key"), *numbers)
+    rows = rows.unionByName(pairs.select(F.lit(_PAIR).alias("kind"), F.col("after").alias("name"), "word", no.alias("key"), *numbers))
+    counts = [F.col(c).cast("double").alias(n) for c, n in zip(("n", "total", "types"), _NUMBERS[:3], strict=True)]
+    return rows.unionByName(lower.select(F.lit(_LOWER).alias("kind"), none.alias("name"), none.alias("word"), "key", *counts, *zeros))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Builds the tables in one task from the rows of ``_counts`` and those of ``lower_orders`` that these need, since the sample that
     they come from is bounded, and yields them pickled in parts."""
-    read = [b for b in batches if b.num_rows]
-    if not read:
+    names, words, keys, numbers = [[], [], []], [[], [], []], [[], [], []], [[], [], []]
+    for whole in batches:
+        for kind in np.unique(whole.column(0).to_numpy()).tolist():
+            batch = whole.filter(pc.equal(whole.column(0), kind))
+            names[kind].append(batch.column(1))
+            words[kind] += batch.column(2).to_pylist() if kind == _PAIR else []
+            keys[kind].append(batch.column(3).to_numpy().astype(np.uint64) if kind == _LOWER else np.zeros(0, np.uint64))
+            numbers[kind].append(np.column_stack([c.to_numpy() for c in batch.columns[4:]]))
+    if not names[_GRAM]:
         return
-    table = pa.Table.from_batches(read)
-    own, pairs, lower = (table.filter(pc.is_valid(table[c])) for c in ("gram", "after", "key"))
-    shared = (lower["key"].to_numpy().astype(np.uint64), *(lower[c].to_numpy().astype(float) for c in ("n", "total", "types")))
-    numbers = lambda rows: {c: rows[c].to_numpy() for c in _NUMBERS}
-    words = {c: pairs[c].to_pylist() for c in ("after", "word")}
-    data = pickle.dumps(Contrast({"gram": own["gram"]} | numbers(own), words | numbers(pairs), shared), protocol=5)
+    each = [np.concatenate([np.zeros((0, len(_NUMBERS))), *n]) for n in numbers]
+    grams = {"gram": pa.chunked_array(names[_GRAM], pa.string())} | dict(zip(_NUMBERS, each[_GRAM].T, strict=True))
+    pairs = {"after": pa.chunked_array(names[_PAIR], pa.string()).to_pylist(), "word": words[_PAIR]} | dict(zip(_NUMBERS, each[_PAIR].T, strict=True))
+    del numbers
+    data = pickle.dumps(Contrast(grams, pairs, (np.concatenate([np.zeros(0, np.uint64), *keys[_LOWER]]), *each[_LOWER][:, :3].T)), protocol=5)
     for at in range(0, len(data), 4 << 20):
         yield pa.record_batch([pa.array([data[at : at + (4 << 20)]], pa.binary())], ["part"])
 
@@ -425,8 +443,7 @@ def _train(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int) -> t
     needed = grams.select("gram").mapInArrow(_suffixes, "key long").distinct()
     lower = scratch.table(lower_orders(docs, scratch).join(needed, "key", "left_semi"), "needed")
     pairs = scratch.table(pairs, "pairs")
-    together = grams.unionByName(pairs, allowMissingColumns=True).unionByName(lower, allowMissingColumns=True)
-    packed = together.coalesce(1).mapInArrow(_fitted, "part binary").collect()
+    packed = _together(grams, pairs, lower).coalesce(1).mapInArrow(_fitted, "part binary").collect()
     nothing = ({c: [] for c in ("gram", *_NUMBERS)}, {c: [] for c in ("after", "word", *_NUMBERS)}, (np.zeros(0, np.uint64), *[np.zeros(0)] * 3))
     model = pickle.loads(b"".join(r["part"] for r in packed)) if packed else Contrast(*nothing)
     held = rows.sparkSession.sparkContext.broadcast(model)
