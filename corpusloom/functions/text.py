@@ -86,9 +86,7 @@ def stripped_markup(text: Column) -> Column:
 
 def byte_tokens(text: Column, bos: int | None = 256, eos: int | None = 257) -> Column:
     """UTF-8 bytes as token ids with begin and end ids."""
-    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    pairs = F.hex(raw)
-    body = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.substring(pairs, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    body = F.when(F.octet_length(raw) > 0, body).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))  # in one pass over the text
+    body = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
     start, end = F.array(*[F.lit(bos)] * (bos is not None)).cast("array<int>"), F.array(*[F.lit(eos)] * (eos is not None)).cast("array<int>")
     return F.concat(start, body, end)

@@ -294,7 +294,7 @@ def stripped_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n, CAST(256 + coalesce(list_sum(list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT)), 0) AS BIGINT) AS total FROM documents
+SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n, CAST(256 + coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), 0) AS BIGINT) AS total FROM documents
 """)
 def trailing_end_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end token of every text's tokens is dropped before decoding."""

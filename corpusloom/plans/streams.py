@@ -31,7 +31,7 @@ def byte_tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir).select("row_id", "n_tokens", "start")
 
 
-@query("SELECT doc_id, CAST(strlen(text) + 2 AS BIGINT) AS n, CAST(256 + 257 + list_sum(list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT)) AS BIGINT) AS total FROM documents WHERE strlen(text) BETWEEN 1 AND 1000000000")
+@query("SELECT doc_id, CAST(strlen(text) + 2 AS BIGINT) AS n, CAST(256 + 257 + list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)) AS BIGINT) AS total FROM documents WHERE strlen(text) BETWEEN 1 AND 1000000000")
 def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte tokenizer: one id per UTF-8 byte, with begin and end ids."""
     rows = documents(spark, sf_dir).where(F.octet_length("text") > 0).select("doc_id", text.byte_tokens(F.col("text")).alias("t"))
@@ -142,7 +142,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.chunks(sized, 511).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "chunk_start", "chunk_tokens")
 
 
-_TOKENS = "[256] || list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT) || [257]"
+_TOKENS = "[256] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) || [257]"
 
 
 @query(f"""
