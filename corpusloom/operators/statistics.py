@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import h32
@@ -64,23 +65,27 @@ def spearman(df: DataFrame, x: str, y: str, tie: str, by: Sequence[str] = (), av
 
 
 def pareto(df: DataFrame, cost: str, loss: str, id_col: str, slack: float = 1.02) -> DataFrame:
-    """Rows that no row of at most ``slack`` times their cost beats in loss.
+    """Rows that no row of at most ``slack`` times their cost beats in loss, costs being compared by their logarithms; ``slack`` > 1.
 
-    Costs go to logarithmic buckets; the least loss below a bucket comes from the bucket table, and only rows of the bucket's reach are
-    compared one by one.
+    Costs go to logarithmic buckets of half the slack, so a row reaches all of its own bucket and all below, and stays only at the least
+    loss found there. What could still beat it lies above: the cheapest row of less than that loss, which is the cheapest one below all
+    earlier buckets in the next bucket that has any. So rows meet one row of their bucket and never each other; for the usual slack the
+    bucket table has at most 150,000 rows, as doubles span no more.
     """
-    step = float(np.log(slack)) * 4
-    rows = df.withColumn("_b", F.floor(F.log(F.col(cost)) / step))
-    reach = rows.withColumn("_to", F.floor(F.log(F.col(cost) * slack) / step))
-    best = rows.groupBy("_b").agg(F.min(loss).alias("_least"))
-    from pyspark.sql import Window
-
-    best = best.withColumn("_below", F.min("_least").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    near = rows.select(F.col("_b").alias("_ob"), F.col(cost).alias("_oc"), F.col(loss).alias("_ol"))
-    exploded = reach.select(id_col, cost, loss, F.col("_b"), F.explode(F.sequence("_b", "_to")).alias("_ob"))
-    close = exploded.join(near, "_ob").groupBy(id_col).agg(F.min(F.when(F.col("_oc") <= F.col(cost) * slack, F.col("_ol"))).alias("_near"))
-    out = reach.join(best.select("_b", "_below"), "_b").join(close, id_col)
-    return out.where((F.coalesce("_below", F.lit(float("inf"))) >= F.col(loss)) & (F.col("_near") >= F.col(loss))).select(id_col, cost, loss)
+    if slack <= 1:
+        raise ValueError("the slack must exceed 1")
+    reach = round(math.log(slack), 16)  # as many digits as the SQL twin writes
+    step = reach / 2
+    bucket = F.when(F.isnan("_x"), F.lit(1 << 60)).otherwise(F.floor(F.least(F.col("_x") / step, F.lit(1e15))))  # NaN above infinity
+    rows = df.select(id_col, cost, loss, F.log(cost).alias("_x")).where("_x IS NOT NULL").withColumn("_b", bucket)
+    small = F.broadcast if 1500 / step < 200_000 else lambda table: table
+    up = Window.orderBy("_b")  # one row a bucket
+    least = rows.groupBy("_b").agg(F.min(loss).alias("_least"))
+    least = least.select("_b", F.min("_least").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.min("_least").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"))
+    first = rows.join(small(least.select("_b", "_below")), "_b").where(F.col(loss) < F.col("_below")).groupBy("_b").agg(F.min("_x").alias("_first"))
+    nearest = least.join(first, "_b", "left").select("_b", "_upto", F.min("_first").over(up.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    beaten = F.coalesce(F.col("_next") <= F.col("_x") + reach, F.lit(False))
+    return rows.join(small(nearest), "_b").where((F.col(loss) <= F.col("_upto")) & ~beaten).select(id_col, cost, loss)
 
 
 def vertex(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -240,6 +242,33 @@ def test_statistics_on_small_tables(spark):
     assert got == {i for i, c, y in pts if not any(d <= c * 1.02 and z < y for _, d, z in pts)}
 
 
+def test_pareto_of_repeated_ids_ties_and_odd_values(spark):
+    rng = random.Random(8)
+    inf, nan = float("inf"), float("nan")
+    pts = [(rng.choice([None, 1, 2, 3]), rng.choice([rng.uniform(1, 3), 2.0, 2.04, 10.0 ** rng.randint(-300, 300)]), rng.choice([0.5, 0.25, rng.random()])) for _ in range(400)]
+    pts += [(7, 1e-305, 2.0), (7, 1e-305, 2.0), (8, 1.01e-305, 2.0), (9, inf, 0.0), (None, inf, 0.0), (10, nan, -1.0), (11, 5.0, nan), (12, 5.0, None), (13, None, -2.0), (14, -1.0, -2.0)]
+    key = lambda c: (1, 0.0) if math.isnan(c) else (0, math.log(c))
+    real = [(i, key(c), c, y) for i, c, y in pts if c is not None and not c <= 0 and y is not None and not math.isnan(y)]
+    reach = lambda k: (k[0], k[1] + 0.0198026272961797)
+    want = sorted(repr((i, c, y)) for i, k, c, y in real if not any(o <= reach(k) and z < y for _, o, _, z in real))
+    got = statistics.pareto(spark.createDataFrame(pts, "i long, c double, y double"), "c", "y", "i").collect()
+    assert sorted(repr(tuple(r)) for r in got) == want and len(want) > 5
+    with pytest.raises(ValueError):
+        statistics.pareto(spark.range(1), "id", "id", "id", 1.0)
+
+
+def test_pareto_of_many_rows_at_about_one_cost(spark):
+    """200,000 rows that all reach each other: comparing them in pairs would take hours."""
+    rows = spark.range(200_000).select("id", (F.lit(1000.0) + F.col("id") % 1000 / 100).alias("c"), (F.col("id") * 7919 % 199_999).cast("double").alias("y"))
+    out = []
+    worker = threading.Thread(target=lambda: out.extend(statistics.pareto(rows, "c", "y", "id").collect()), daemon=True)
+    worker.start()
+    worker.join(60)
+    if worker.is_alive():
+        spark.sparkContext.cancelAllJobs()
+    assert sorted(r["id"] for r in out) == [0, 199_999]
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, float("nan"), "</script>")], "a long, b double, c string")
     assert sinks.finite(df).first()["b"] is None
