@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.functions.hashing import h32
+from corpusloom.functions.draws import tiles
 from corpusloom.operators.order import value_ranked
 
 
@@ -115,16 +117,51 @@ def partial_correlation(df: DataFrame, x: str, y: str, control: str, by: Sequenc
     return r.withColumn("partial_r", (F.col("xy") - F.col("xc") * F.col("yc")) / F.sqrt((1 - F.col("xc") * F.col("xc")) * (1 - F.col("yc") * F.col("yc"))))
 
 
-def bootstrap(df: DataFrame, row: str, value: str, reps: int, seed: int, by: Sequence[str]) -> DataFrame:
+#: Draws of one call and into how many calls a slice's draws are cut at most; values of a group that a worker holds, and values a row.
+DRAWS, CALLS, HELD, RUN = 1 << 24, 32, 1 << 22, 512
+
+
+def bootstrap(df: DataFrame, row: str, value: str, reps: int, seed: int, by: Sequence[str], held: int = HELD) -> DataFrame:
     """Standard error of the group means' unweighted mean, resampling rows within groups.
 
-    A draw picks row ``h(seed, rep, row) mod n`` of the group, so every resample is a function of the seed; draws join values by
-    position. ``row`` numbers the rows of each group from 0.
+    A draw picks row ``h32(seed, rep, *by, row) mod n`` of the group, so every resample is a function of the seed. ``row`` numbers the rows
+    of each group from 0. Draws are neither shuffled nor joined: a worker holds a group's values by position and adds up what a range of
+    resamples draws. Of a group of more than ``held`` values (rounded up to whole runs) it holds a slice, makes all draws and adds up
+    those that fall into it; so memory is bounded, and the draws of such a group are made once a slice.
     """
+    runs = -(-held // RUN)
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = df.select(*by, row).join(sizes, list(by)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draws = draws.withColumn(row, F.pmod(h32(seed, "rep", *by, row), F.col("_n"))).drop("_n")
-    means = draws.join(df.select(*by, row, value), [*by, row]).groupBy("rep", *by).agg(F.avg(value).alias("_mean"))
+    cut = df.groupBy(*by, F.floor(F.col(row) / RUN).alias("_run")).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(value).cast("double").alias("v")))).alias("_rows"))
+    cut = cut.join(sizes, list(by)).withColumns({"_slice": F.floor(F.col("_run") / runs), "_values": F.col("_rows.v")}).drop("_rows")
+    calls = F.least(F.lit(CALLS), F.lit(reps), F.ceil(F.col("_n") * reps / DRAWS)).cast("int")
+    middle = F.concat(F.lit("|"), *[x for c in by for x in (F.col(c).cast("string"), F.lit("|"))])
+    units = cut.withColumns({"_calls": calls, "_middle": middle}).withColumn("_call", F.explode(F.sequence(F.lit(0), F.col("_calls") - 1)))
+    keys = [*by, "_slice", "_call"]
+    spread = units.repartition(16 * df.sparkSession.sparkContext.defaultParallelism, *keys)  # a fixed number: few bytes stand for many draws
+    kinds = T.StructType([df.schema[c] for c in by]).add("rep", "long").add("_sum", "double").add("_count", "long")
+
+    def drawn(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        n, calls, middle = (part.column(c)[0].as_py() for c in ("_n", "_calls", "_middle"))
+        *group, nth, call = (k.as_py() for k in key)
+        low, high, first = reps * call // calls, reps * (call + 1) // calls, nth * runs * RUN
+        size = min(runs * RUN, n - first)
+        values, counted = np.zeros(size + 1), np.zeros(size + 1, np.int64)  # the last stands for other slices
+        for run, found in zip(part.column("_run").to_pylist(), (x.values for x in part.column("_values")), strict=True):
+            at = slice(run * RUN - first, run * RUN - first + len(found))
+            values[at], counted[at] = found.fill_null(0.0).to_numpy(), found.is_valid().to_numpy(zero_copy_only=False)
+        whole = int(counted.sum()) == n
+        sums, counts = np.zeros(high - low), np.zeros(high - low, np.int64)
+        for rep, h in tiles(f"{seed}|", middle, (low, high), n):
+            place = (h if n < 1 << 32 else h.astype(np.uint64)) % n
+            at = np.minimum(place - first, size).astype(np.intp)  # unsigned: what lies before the slice wraps round to beyond it
+            mine = slice(rep - low, rep - low + len(h))
+            sums[mine] += values[at].sum(axis=1)
+            counts[mine] += h.shape[1] if whole else counted[at].sum(axis=1)
+        same = [pa.array([g] * (high - low), k.type) for g, k in zip(group, key, strict=False)]
+        return pa.Table.from_arrays([*same, pa.array(range(low, high), pa.int64()), pa.array(sums), pa.array(counts)], names=kinds.names)
+
+    added = spread.groupBy(*keys).applyInArrow(drawn, kinds).groupBy("rep", *by).agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
+    means = added.select("rep", F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count")).alias("_mean"))
     return means.groupBy("rep").agg(F.avg("_mean").alias("macro")).agg(F.count("*").alias("reps"), F.avg("macro").alias("mean"), F.stddev_pop("macro").alias("se"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import catalog
-from corpusloom.functions import arrays, text, tokenizers
+from corpusloom.functions import arrays, draws, text, tokenizers
 from corpusloom.operators import align, dedup, experiments, layout, minhash, scoring, statistics, tokens, vectors
 from corpusloom.operators.order import hash_ranked, interval_join, numbered, running_sum, value_ranked
 from corpusloom.plans.scratch import Scratch
@@ -269,6 +269,51 @@ def test_pareto_of_many_rows_at_about_one_cost(spark):
     assert sorted(r["id"] for r in out) == [0, 199_999]
 
 
+def test_draws_are_h32_of_their_texts():
+    for middle, reps, rows in (("|a|", (8, 13), 1203), ("|é" + "x" * 43 + "|", (98, 102), 130), ("|" + "x" * 200 + "|", (0, 3), 11), ("|", (999, 1001), 40_000)):
+        got = {}
+        for rep, h in draws.tiles("31|", middle, reps, rows):
+            for k in range(len(h)):
+                got.setdefault(rep + k, []).extend(h[k].tolist())
+        assert got == {rep: [int(hashlib.md5(f"31|{rep}{middle}{r}".encode()).hexdigest()[:8], 16) for r in range(rows)] for rep in range(*reps)}
+
+
+def resampled(groups, reps, seed):
+    """Bootstrap in plain Python; values by group, None for nulls."""
+    macro = []
+    for rep in range(reps):
+        means = []
+        for g, values in groups.items():
+            found = [values[int(hashlib.md5(f"{seed}|{rep}|{g}|{r}".encode()).hexdigest()[:8], 16) % len(values)] for r in range(len(values))]
+            found = [v for v in found if v is not None]
+            means += [sum(found) / len(found)] if found else []
+        macro += [sum(means) / len(means)] if means else []
+    return (reps, np.mean(macro), np.std(macro))
+
+
+def test_bootstrap_of_nulls_slices_and_many_calls(spark, monkeypatch):
+    rng = random.Random(9)
+    groups = {"a": [rng.choice([None, rng.uniform(-5, 5)]) for _ in range(1700)], "é|": [rng.random() for _ in range(513)], "": [2.5], "none": [None, None]}
+    rows = [(g, r, v) for g, values in groups.items() for r, v in enumerate(values)]
+    df = spark.createDataFrame([*rows, (None, 0, 1e9)], "g string, r long, v double").repartition(5)
+    want = resampled(groups, 23, 4)
+    assert tuple(statistics.bootstrap(df, "r", "v", 23, 4, ["g"]).first()) == pytest.approx(want)
+    monkeypatch.setattr(statistics, "DRAWS", 3000)
+    assert tuple(statistics.bootstrap(df, "r", "v", 23, 4, ["g"], held=1000).first()) == pytest.approx(want)
+    assert tuple(statistics.bootstrap(df.where("false"), "r", "v", 23, 4, ["g"]).first()) == (0, None, None)
+
+
+def test_bootstrap_shuffles_no_draws(spark):
+    """20,000,000 draws of 10,000 rows: no row of the plan may be one draw."""
+    df = spark.range(10_000).select((F.col("id") % 2).cast("string").alias("g"), F.floor(F.col("id") / 2).alias("r"), F.col("id").cast("double").alias("v"))
+    out = statistics.bootstrap(df, "r", "v", 2000, 31, ["g"])
+    out.collect()
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    most = max(stages.apply(k).shuffleWriteRecords() for k in range(min(20, stages.size())))
+    assert 0 < most <= 10_000
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, float("nan"), "</script>")], "a long, b double, c string")
     assert sinks.finite(df).first()["b"] is None
